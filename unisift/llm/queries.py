@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .lines import line_dedup_sql
+from .mixing import mix_sql
+
 
 def tokenizer_path() -> str:
     """The byte-level BPE file of the installed tokenizer collection."""
@@ -24,12 +27,31 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), tokenizer_path(), capacity=1024)
 
 
+#: Target shares of the mixture; "*" is all other sources together.
+MIX_WEIGHTS = {"src0": 0.2, "src1": 0.1, "src2": 0.15, "*": 0.55}
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .mixing import mix
+
+    documents = _documents(spark, sf_dir).select("doc_id", "text", "source", "n_chars")
+    return mix(documents, MIX_WEIGHTS, seed=7, size=F.col("n_chars")).drop("n_chars")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import count_tokens
 
     return count_tokens(_documents(spark, sf_dir), tokenizer_path(), limit=1024)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    return dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), percent=80, width=5)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -38,8 +60,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_source_mixing": op2_source_mixing,
     "op3_token_counts": op3_token_counts,
     "op7_quality_rules": op7_quality_rules,
+    "op9_line_dedup": op9_line_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_source_mixing": mix_sql(MIX_WEIGHTS, 7, "n_chars", "doc_id, text, source"),
+    "op9_line_dedup": line_dedup_sql(80, 5),
+}
