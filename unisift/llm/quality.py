@@ -55,22 +55,11 @@ def _per_doc(owner: np.ndarray, what: np.ndarray, docs: int, kinds: int) -> np.n
     return np.bincount(owner * kinds + what, minlength=docs * kinds).reshape(docs, kinds)
 
 
-def _words_of(at: np.ndarray, data: np.ndarray, lower: bool) -> tuple[np.ndarray, ...]:
-    """Starts, ends, hashes of words that don't cross rows, and each one's row. Rows are joined by a space."""
-    rows = len(at) - 1
-    joined = np.full(len(data) + rows, 0x20, np.uint8)
-    moved = np.arange(len(data)) + np.repeat(np.arange(rows), np.diff(at))
-    joined[moved] = data
-    starts, ends, hashes = tx.words(joined, lower)
-    owner = np.searchsorted(at[1:] + np.arange(1, rows + 1), starts, side="right")
-    return joined, starts, ends, hashes, owner
-
-
 def _histograms(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class counts per row; row and bin of each word."""
     rows = len(at) - 1
     classes = _per_doc(np.repeat(np.arange(rows), np.diff(at)), _CLASS[data].astype(np.int64), rows, CLASSES)
-    *_, hashes, owner = _words_of(at, data, True)
+    *_, hashes, owner = tx.row_words(at, data, True)
     return classes, owner, (hashes >> np.uint64(52)).astype(np.int64) % BINS
 
 
@@ -140,7 +129,7 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def _base(at: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
     rows = len(at) - 1
-    joined, starts, ends, hashes, owner = _words_of(at, data, False)
+    joined, starts, ends, hashes, owner = tx.row_words(at, data, False)
     n_words = np.bincount(owner, minlength=rows)
     points = tx.code_points(joined)
     word_chars = np.bincount(owner, weights=points[ends] - points[starts], minlength=rows).astype(np.int64)

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import linked_turns_sql
 from .lines import line_dedup_sql
 from .mixing import mix_sql
+from .units import repeated_units_sql
 
 
 def tokenizer_path() -> str:
@@ -46,6 +48,25 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), tokenizer_path(), limit=1024)
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similar_documents
+
+    return similar_documents(_documents(spark, sf_dir), percent=90, width=3).select("doc_id", "n_shingles", "component_id")
+
+
+def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .units import repeated_units
+
+    return repeated_units(_documents(spark, sf_dir), unit="sentence", least_words=5)
+
+
+def op8_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import REPLY_SCHEMA, link_calls, turns_as_calls
+
+    calls, results = turns_as_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return link_calls(calls, results, {"reply": REPLY_SCHEMA})
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
@@ -62,11 +83,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_source_mixing": op2_source_mixing,
     "op3_token_counts": op3_token_counts,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_unit_dedup": op6_unit_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_tool_linking": op8_tool_linking,
     "op9_line_dedup": op9_line_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op2_source_mixing": mix_sql(MIX_WEIGHTS, 7, "n_chars", "doc_id, text, source"),
+    "op6_unit_dedup": repeated_units_sql(5),
+    "op8_tool_linking": linked_turns_sql(),
     "op9_line_dedup": line_dedup_sql(80, 5),
 }

@@ -110,3 +110,34 @@ def per_row(at: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def code_points(data: np.ndarray) -> np.ndarray:
     """Running count of code points before each byte (length n + 1)."""
     return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+
+
+def row_words(at: np.ndarray, data: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Joined bytes (rows end with a space), and starts, ends, hashes and row of each word; no word crosses rows."""
+    rows = len(at) - 1
+    joined = np.full(len(data) + rows, 0x20, np.uint8)
+    joined[np.arange(len(data)) + np.repeat(np.arange(rows), np.diff(at))] = data
+    starts, ends, hashes = words(joined, lower)
+    return joined, starts, ends, hashes, np.searchsorted(at[1:] + np.arange(1, rows + 1), starts, side="right")
+
+
+def shingle_sets(at: np.ndarray, data: np.ndarray, width: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each row, words lower-cased; with fewer words, the whole sequence is one."""
+    *_, hashes, owner = row_words(at, data, True)
+    first = np.searchsorted(owner, np.arange(len(at)))
+    windows = rolled(hashes, width)
+    out = []
+    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if hi - lo >= width:
+            out.append(np.unique(windows[lo : hi - width + 1]))
+        else:
+            out.append(mix(rolled(hashes[lo:hi], hi - lo) + np.uint64(hi - lo)) if hi > lo else np.zeros(0, np.uint64))
+    return out
+
+
+def set_digest(hashes: np.ndarray) -> int:
+    """A 64-bit digest of a sorted set, as a signed integer."""
+    if not len(hashes):
+        return 0
+    places = mix(np.arange(1, len(hashes) + 1, dtype=np.uint64))
+    return int(mix(np.asarray([np.add.reduce(mix(hashes ^ places)) + np.uint64(len(hashes))], np.uint64)).view(np.int64)[0])
