@@ -1,12 +1,67 @@
-"""The corpus pipeline: stages on `documents`, each written as Parquet and read again by the next."""
+"""The corpus pipeline: from `documents` to packed training windows.
+
+Each stage takes (spark, docs, sf_dir) and calls one operator; what it returns is written as Parquet and read again as the
+next one's `docs`. All but the last return the columns of `documents`. Stages need no state but `docs`:
+
+1. quality rules: documents that base rules or the divergence from their language's reference reject go;
+2. line dedup: lines that are similar to an earlier one go (five-word shingles, 0.8); `n_chars` follows the text, and
+   documents whose lines all went go with them;
+3. n-gram Jaccard join: one document of each class of similar ones stays (five-word shingles, 0.8);
+4. mixing: sources are replicated to their target weights and shuffled;
+5. packing: windows of at most 1024 tokens.
+
+Null texts and ids, repeated rows and empty tables are treated as the operators say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from unisift.llm.jaccard import one_of_each
+from unisift.llm.lines import dedup_lines
+from unisift.llm.mixing import mix
+from unisift.llm.packing import pack
+from unisift.llm.quality import keep_documents
+from unisift.llm.queries import MIX_WEIGHTS, tokenizer_path
+from unisift.llm.stage import written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_documents(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    left = dedup_lines(docs, percent=80, width=5)
+    return left.withColumn("n_chars", F.length("text").cast("long")).where(F.trim("text") != "").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs, percent=80, width=5)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix(docs, MIX_WEIGHTS, seed=7, size=F.col("n_chars")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, tokenizer_path(), capacity=1024)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("source mixing", source_mixing),
+    ("packing", packing),
+]
 
-STAGES: list = []
+#: SQL has no tokenizer; tests hold the pipeline against a plain Python version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

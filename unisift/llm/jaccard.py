@@ -272,14 +272,14 @@ def _verified(texts: DataFrame, nodes: DataFrame, reps: DataFrame, width: int, p
 
 def similar_documents(documents: DataFrame, percent: int = 80, width: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reached by links, its own included), node."""
-    texts = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    texts = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("text_hash"))
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _new_sets(batches, width, copies=True):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for _, s in sets], pa.int64()), pa.array([d for d, _ in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array([len(s) for _, s in sets], pa.int64()), pa.array([d for d, _ in sets], pa.int64())], ["doc_id", "text_hash", "n_shingles", "node"])
 
-    rows = written(texts.mapInArrow(features, f"doc_id {kind}, n_shingles long, node long"), "features")
+    rows = written(texts.mapInArrow(features, f"doc_id {kind}, text_hash long, n_shingles long, node long"), "features")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = 1 << min(12, max(4, (total >> 21).bit_length()))
     slots, counts = _frequent(texts.select("text"), width, ranges)
@@ -296,5 +296,28 @@ def similar_documents(documents: DataFrame, percent: int = 80, width: int = 5, i
 
     roots = reps.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = roots.join(least, "root").select("node", "component_id")
-    return rows.join(classes, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node")
+    classes = roots.join(least, "root").select("node", "root", "component_id")
+    return rows.join(classes, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node", "text_hash", F.coalesce("root", "node").alias("class"))
+
+
+def one_of_each(documents: DataFrame, percent: int = 80, width: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents, with all their columns, without all but one of each class of similar ones.
+
+    The row of smallest id (null last), then text hash, stays; of repeated rows one. Documents without tokens all stay.
+    """
+    found = written(similar_documents(documents, percent, width, id_column, text_column), "classes")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    stay = found.where("n_shingles > 0").groupBy("class").agg(F.min(rank).alias("rank")).select("rank.doc_id", "rank.text_hash")
+    times = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"), F.max("n_shingles").alias("n"))
+    stay = times.where("n = 0").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.lit(1).alias("times")).unionByName(
+        stay.join(times.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "times"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("id", "hash", "times").withColumn("times", F.col("times").cast("int"))
+    )
+    stay = written(stay, "stay")
+    rows = documents.select(F.struct("*").alias("row"))
+    here = F.col("row")[id_column].eqNullSafe(F.col("id")) & (F.xxhash64(F.col("row")[text_column]) == F.col("hash"))
+    kept = rows.join(stay.where("times = 1").hint("shuffle_hash"), here, "left_semi")
+    if stay.where("times > 1").take(1):
+        again = rows.join(stay.where("times > 1").hint("shuffle_hash"), here, "left_semi")
+        key = [F.col("row")[id_column], F.xxhash64(F.col("row")[text_column])]
+        kept = kept.unionByName(again.groupBy(*key).agg(F.first("row").alias("row")).select("row"))
+    return kept.select("row.*")

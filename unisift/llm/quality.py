@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import text as tx
 
@@ -156,44 +157,69 @@ def _base(at: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
     return {"n_words": n_words, "word_chars": word_chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeat}
 
 
-def judge(documents: DataFrame, class_limit: float = 0.17, class_noise: float = 1.5, word_limit: float = 0.115, word_noise: float = 3.0, class_bytes: int = 100, word_count: int = 20, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+#: Columns of a verdict after the document's id.
+_VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
+
+
+def _verdicts(known: dict, class_limit: float = 0.17, class_noise: float = 1.5, word_limit: float = 0.115, word_noise: float = 3.0, class_bytes: int = 100, word_count: int = 20):
+    """A function from texts and languages (Arrow) to the columns of _VERDICT."""
+
+    def verdict(texts: pa.Array, langs: pa.Array) -> dict[str, pa.Array]:
+        at, data = tx.flat(texts)
+        out = _base(at, data)
+        classes, owner, bins = _histograms(at, data)
+        coded = langs.dictionary_encode()
+        code = np.asarray(coded.indices.fill_null(len(coded.dictionary)))
+        first, second = np.zeros(len(classes)), np.zeros(len(classes))
+        for k, lang in enumerate([*coded.dictionary.to_pylist(), None]):
+            own = np.flatnonzero(code == k)
+            if not len(own):
+                continue
+            class_shares, common, shares = known.get(lang, known[None])
+            place = np.full(BINS, COMMON)
+            place[common] = np.arange(len(common))
+            number = np.full(len(classes), -1)
+            number[own] = np.arange(len(own))
+            mine = number[owner] >= 0
+            counts = _per_doc(number[owner[mine]], place[bins[mine]], len(own), COMMON + 1)
+            first[own] = distance(classes[own] / np.maximum(1, classes[own].sum(1, keepdims=True)), class_shares)
+            second[own] = distance(counts / np.maximum(1, counts.sum(1, keepdims=True)), shares)
+        n, size = out["n_words"], np.diff(at)
+        base_failed = (n < 20) | (100 * out["n_repeat_words"] > 30 * n)
+        first_counts, second_counts = size >= class_bytes, n >= word_count
+        far = (first_counts & (first > class_limit + class_noise / np.sqrt(np.maximum(1, size)))) | (second_counts & (second > word_limit + word_noise / np.sqrt(np.maximum(1, n))))
+        return {c: pa.array(v.astype(np.int64)) for c, v in out.items()} | {"base_failed": pa.array(base_failed), "kept": pa.array(~base_failed & ~far), "class_distance": pa.array(first, mask=~first_counts), "word_distance": pa.array(second, mask=~second_counts)}
+
+    return verdict
+
+
+def judge(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", **limits) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance.
 
     n_dup_lines: \\n-split lines with a word, equal to an earlier line. n_repeat_words: words in 8-word windows found
     twice or more in the text. base_failed: n_words < 20 or 100 * n_repeat_words > 30 * n_words. A distance that a
-    length guard leaves out is null.
+    length guard leaves out is null. limits: class_limit, class_noise, word_limit, word_noise, class_bytes, word_count.
     """
-    known = references(documents, lang_column, text_column)
+    verdict = _verdicts(references(documents, lang_column, text_column), **limits)
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def verdict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches, "text"):
-            at, data = tx.flat(part.column("text"))
-            out = _base(at, data)
-            classes, owner, bins = _histograms(at, data)
-            coded = part.column("lang").dictionary_encode()
-            code = np.asarray(coded.indices.fill_null(len(coded.dictionary)))
-            first, second = np.zeros(len(classes)), np.zeros(len(classes))
-            for k, lang in enumerate([*coded.dictionary.to_pylist(), None]):
-                own = np.flatnonzero(code == k)
-                if not len(own):
-                    continue
-                class_shares, common, shares = known.get(lang, known[None])
-                place = np.full(BINS, COMMON)
-                place[common] = np.arange(len(common))
-                number = np.full(len(classes), -1)
-                number[own] = np.arange(len(own))
-                mine = number[owner] >= 0
-                counts = _per_doc(number[owner[mine]], place[bins[mine]], len(own), COMMON + 1)
-                first[own] = distance(classes[own] / np.maximum(1, classes[own].sum(1, keepdims=True)), class_shares)
-                second[own] = distance(counts / np.maximum(1, counts.sum(1, keepdims=True)), shares)
-            n = out["n_words"]
-            base_failed = (n < 20) | (100 * out["n_repeat_words"] > 30 * n)
-            size = np.diff(at)
-            first_counts, second_counts = size >= class_bytes, n >= word_count
-            far = (first_counts & (first > class_limit + class_noise / np.sqrt(np.maximum(1, size)))) | (second_counts & (second > word_limit + word_noise / np.sqrt(np.maximum(1, n))))
-            columns = [part.column("doc_id"), *(pa.array(v.astype(np.int64)) for v in out.values()), pa.array(base_failed), pa.array(~base_failed & ~far), pa.array(first, mask=~first_counts), pa.array(second, mask=~second_counts)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *out, "base_failed", "kept", "class_distance", "word_distance"])
-
-    return rows.mapInArrow(verdict, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double")
+            columns = {"doc_id": part.column("doc_id")} | verdict(part.column("text"), part.column("lang"))
+            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, {_VERDICT}")
+
+
+def keep_documents(documents: DataFrame, text_column: str = "text", lang_column: str = "lang", **limits) -> DataFrame:
+    """The documents that `judge` keeps, with all their columns. No shuffle; all columns pass through unread."""
+    verdict = _verdicts(references(documents, lang_column, text_column), **limits)
+    rows = documents.select(F.struct("*").alias("row"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in tx.slices(batches, "text"):
+            kept = verdict(part.column("text"), part.column("lang"))["kept"]
+            yield pa.RecordBatch.from_arrays([part.column("row").filter(kept)], ["row"])
+
+    return rows.mapInArrow(run, T.StructType([T.StructField("row", documents.schema)])).select("row.*")
