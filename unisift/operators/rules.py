@@ -127,10 +127,16 @@ def _all_tokens(policy: Policy) -> bool:
     return policy.identifier_policy == "permitted-scripts" and "Latin" not in policy.permitted_scripts
 
 
+def exploded(lines: DataFrame, found: Column, policy: Policy) -> DataFrame:
+    """Findings of an array per line. The generator is an outer one, since Spark would compute the array of an inner one
+    once more for an inferred filter on its size."""
+    return _placed(lines.select("path", "line", F.col("line").alias("head"), F.explode_outer(found).alias("f")).where("f is not null"), policy)
+
+
 def on_lines(lines: DataFrame, policy: Policy) -> DataFrame:
     """All findings on characters, lines and tokens but collisions: one pass, no shuffle."""
     found = F.concat(char_findings(policy), line_findings(), token_findings(policy))
-    return _placed(lines.select("path", "line", F.col("line").alias("head"), F.explode(found).alias("f")), policy)
+    return exploded(lines, found, policy)
 
 
 def collisions(lines: DataFrame, policy: Policy) -> DataFrame:
