@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import linked_turns_sql
 from .lines import line_dedup_sql
 from .mixing import mix_sql
+from .search import search_sql
 from .units import repeated_units_sql
 
 
@@ -85,6 +86,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_documents(spark, sf_dir))
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .search import search
+
+    documents = _documents(spark, sf_dir)
+    return search(documents, documents.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_source_mixing": op2_source_mixing,
@@ -95,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_tool_linking": op8_tool_linking,
     "op9_line_dedup": op9_line_dedup,
+    "op10_topk_search": op10_topk_search,
 }
 
 ORACLE: dict[str, str] = {
@@ -102,4 +113,5 @@ ORACLE: dict[str, str] = {
     "op6_unit_dedup": repeated_units_sql(5),
     "op8_tool_linking": linked_turns_sql(),
     "op9_line_dedup": line_dedup_sql(80, 5),
+    "op10_topk_search": search_sql(10, 20),
 }
