@@ -68,10 +68,13 @@ def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
     from .chat import REPLY_SCHEMA, link_calls, turns_as_calls
 
     calls, results = turns_as_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return link_calls(calls, results, {"reply": REPLY_SCHEMA})
+    linked = link_calls(calls, results, {"reply": REPLY_SCHEMA})
+    return linked.withColumn("errors", F.array_join("errors", "; "))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op2_source_mixing": mix_sql(MIX_WEIGHTS, 7, "n_chars", "doc_id, text, source"),
     "op6_unit_dedup": repeated_units_sql(5),
-    "op8_tool_linking": linked_turns_sql(),
+    "op8_tool_linking": f"SELECT * REPLACE (array_to_string(errors, '; ') AS errors) FROM ({linked_turns_sql()})",
     "op9_line_dedup": line_dedup_sql(80, 5),
     "op10_topk_search": search_sql(10, 20),
 }
