@@ -8,8 +8,8 @@ than `width` words have no shingle: they are kept and match nothing.
 
 1. Equal lines (after lower-casing and joining words by one space) form a class, represented by its first
    line; copies of any number meet in a map-side aggregate.
-2. Tokens are ordered by rarity: those that a frequent-items sketch over all lines reports come last, by
-   estimated count, all others by hash. The order decides speed only: any fixed order gives the same result.
+2. Tokens are ordered by rarity: frequent ones come last, by exact counts (see `_ordered_prefixes`), and all by hash
+   otherwise. The order decides speed only: any fixed order gives the same result.
 3. Prefix filter: a class with n tokens is indexed by its first n - ceil(percent * n / 100) + 1 tokens; matching
    classes share one of these. Candidates pass the length filter and the positional filter (the most tokens
    they can still share, by the place of the common token).
@@ -28,59 +28,74 @@ from pyspark.sql import functions as F
 
 from .stage import written
 
-#: Items that the frequency sketch tracks, and the most it reports: bounds of what the driver and plans hold.
-TRACKED, REPORTED = 100_000, 10_000
+#: Tokens in more classes than this are frequent.
+OFTEN = 32
+
+
+# Generators are outer ones on purpose: for inner ones Spark infers a filter on the size of the array and pushes it below
+# the projections, where it computes all of the array again, word splitting within the lambda and all.
 
 
 def _normal(line: Column) -> Column:
-    """Words in lower case joined by one space."""
-    spaced = F.translate(F.lower(line), "\t\x0b\x0c\r", "    ")
-    return F.array_join(F.array_remove(F.split(spaced, " "), ""), " ")
+    """Words in lower case joined by one space. Lines with other white space, or more of it, take a slower way."""
+    has = lambda x: F.contains(line, F.lit(x))
+    other = has("\t") | has("\r") | has("\x0b") | has("\x0c")
+    loose = has("  ") | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    words = F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
+    return F.lower(F.when(other | loose, F.array_join(words, " ")).otherwise(line))
 
 
-def _lines(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def _lines(documents: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
+    """doc_id, line_no, normal of the lines with at least `width` words."""
     docs = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    # a cheap test on the line itself first: one space fewer than words at least, whatever the white space is
+    worded = lines.where(F.length("line") >= 2 * width - 1).select("doc_id", "line_no", _normal(F.col("line")).alias("normal"))
+    return worded.where(F.length("normal") - F.length(F.replace("normal", F.lit(" "))) >= width - 1)
 
 
-def _shingles(normal: Column, width: int) -> Column:
-    words = F.split(normal, " ")
-    return F.transform(F.sequence(F.lit(1), F.size(words) - (width - 1)), lambda i: F.xxhash64(F.slice(words, i, width)))
+def _with_tokens(rows: DataFrame, width: int, name: str, *keep: str) -> DataFrame:
+    """The kept columns and the shingle hashes of `normal` as array `name`, step by step so that none is computed twice."""
+    worded = rows.select(*keep, F.transform(F.split("normal", " "), lambda w: F.xxhash64(w)).alias("words"))
+    return worded.select(*keep, F.transform(F.sequence(F.lit(0), F.size("words") - width), lambda i: F.xxhash64(*(F.get("words", i + k) for k in range(width)))).alias(name))
 
 
-def _enough(normal: Column, width: int) -> Column:
-    """At least `width` words, told by the spaces between them."""
-    return F.length(normal) - F.length(F.replace(normal, F.lit(" "))) >= width - 1
+def _ordered_prefixes(tokens: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """cid, rank, n, pos, t of class prefixes with frequent tokens last, and the token sets of all classes among them.
 
-
-def _frequent(lines: DataFrame, width: int) -> list[int]:
-    """Shingles that the sketch finds most often, rarest first; at most REPORTED."""
-    tokens = lines.select(F.explode(_shingles(F.col("normal"), width)).alias("t"))
-    top = tokens.agg(F.expr(f"approx_top_k(t, {REPORTED}, {TRACKED})").alias("top")).first()["top"] or []
-    return [x["item"] for x in sorted(top, key=lambda x: (x["count"], x["item"])) if x["count"] > 16]
+    tokens: cid, rank, tokens (sorted by hash). Prefixes by hash come first; classes without a token in common with another
+    prefix are done. The frequent tokens of the others' prefixes (in more than OFTEN classes) tell which classes need
+    more: of these, all tokens are counted, and every class with a frequent token in its prefix gets a new one. A class
+    without keeps its own, since skipping frequent tokens doesn't change it.
+    """
+    n = F.size("tokens")
+    length = (n - F.ceil(n * percent / 100) + 1).cast("int")
+    index = tokens.select("cid", "rank", n.alias("n"), F.posexplode_outer(F.slice("tokens", 1, length)).alias("pos", "t"))
+    index = written(index.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("t"))).where("df > 1"), "line-prefixes")
+    sets = written(tokens.join(index.select("cid").distinct(), "cid", "left_semi"), "line-tokens")
+    crowded = index.where(F.col("df") > OFTEN).select("cid").distinct()
+    if not crowded.take(1):
+        return index.drop("df"), sets
+    every = sets.join(crowded, "cid", "left_semi").select(F.explode_outer("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    hot = written(index.where(F.col("df") > OFTEN).select("t").unionByName(every.where(F.col("df") > OFTEN).select("t")).distinct(), "line-frequent")
+    again = written(index.join(hot, "t", "left_semi").select("cid").distinct(), "line-crowded")
+    spread = sets.join(again, "cid", "left_semi").select("cid", "rank", n.alias("n"), F.explode_outer("tokens").alias("t")).join(hot.withColumn("hot", F.lit(True)), "t", "left")
+    spread = spread.groupBy("cid", "n").agg(F.first("rank").alias("rank"), F.array_sort(F.collect_list(F.struct(F.coalesce("hot", F.lit(False)).alias("hot"), "t"))).alias("order"))
+    first = F.slice("order", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    renewed = spread.select("cid", "rank", "n", F.posexplode_outer(first).alias("pos", "x")).select("cid", "rank", "n", "pos", "x.t")
+    return index.drop("df").join(again, "cid", "left_anti").unionByName(renewed), sets
 
 
 def removed_lines(documents: DataFrame, percent: int = 80, width: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Lines to remove: doc_id, line_no (from 0, of the text split at \\n)."""
-    lines = _lines(documents, id_column, text_column).withColumn("normal", _normal(F.col("line"))).where(_enough(F.col("normal"), width))
+    lines = _lines(documents, width, id_column, text_column)
     key = [F.xxhash64("normal").alias("k1"), F.xxhash64(F.lit(width), "normal").alias("k2")]
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no").alias("rank")
-    often = _frequent(lines, width)
 
-    classes = lines.select(*key, rank, "normal").groupBy("k1", "k2").agg(F.min("rank").alias("rank"), F.min("normal").alias("normal"))
+    classes = lines.select(*key, rank, "normal").groupBy("k1", "k2").agg(F.min("rank").alias("rank"), F.min("normal").alias("normal"), F.count(F.lit(1)).alias("times"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "line-classes")
-    tokens = classes.withColumn("tokens", F.array_distinct(_shingles(F.col("normal"), width)))
-
-    if often:
-        place = {t: i for i, t in enumerate(often)}
-        rare = F.sort_array(F.filter("tokens", lambda t: ~t.isin(often)))
-        common = F.array_sort(F.filter("tokens", lambda t: t.isin(often))) if len(place) else F.array()
-        ordered = tokens.withColumn("ordered", F.concat(rare, common))
-    else:
-        ordered = tokens.withColumn("ordered", F.sort_array("tokens"))
-    n = F.size("ordered")
-    prefix = F.slice("ordered", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
-    index = ordered.select("cid", "rank", n.alias("n"), F.posexplode(prefix).alias("pos", "t"))
+    tokens = _with_tokens(classes, width, "ts", "cid", "rank").select("cid", "rank", F.sort_array(F.array_distinct("ts")).alias("tokens"))
+    index, known = _ordered_prefixes(tokens, percent)
     by_token = Window.partitionBy("t")
     index = index.withColumn("df", F.count(F.lit(1)).over(by_token)).where("df > 1")
     index = index.withColumn("hub", F.min(F.struct("rank", "cid", "n", "pos")).over(by_token))
@@ -93,8 +108,7 @@ def removed_lines(documents: DataFrame, percent: int = 80, width: int = 5, id_co
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Classes b of the pairs (a, b) that match."""
-        sets = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi")
-        sets = sets.select("cid", F.array_distinct(_shingles(F.col("normal"), width)).alias("set"))
+        sets = known.select("cid", F.col("tokens").alias("set"))
         both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
         common = F.size(F.array_intersect("set_a", "set_b"))
         return both.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select(F.col("b").alias("cid")).distinct()
@@ -110,7 +124,8 @@ def removed_lines(documents: DataFrame, percent: int = 80, width: int = 5, id_co
 
     matched = settled.unionByName(second)
     # lines of matched classes go, as do the later lines of any other class
-    fate = classes.join(matched.withColumn("gone", F.lit(True)), "cid", "left").select("k1", "k2", F.col("rank").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    fate = classes.select("cid", "k1", "k2", "rank", "times").join(matched.withColumn("gone", F.lit(True)), "cid", "left").where("gone or times > 1")
+    fate = written(fate.select("k1", "k2", F.col("rank").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")), "line-fate")
     placed = lines.select(*key, rank)
     return placed.join(fate, ["k1", "k2"]).where("gone or rank > first").select("rank.doc_id", "rank.line_no")
 
