@@ -11,7 +11,7 @@ than `width` words have no shingle: they are kept and match nothing.
 2. Tokens are ordered by rarity: frequent ones come last, by exact counts (see `_ordered_prefixes`), and all by hash
    otherwise. The order decides speed only: any fixed order gives the same result.
 3. Prefix filter: a class with n tokens is indexed by its first n - ceil(percent * n / 100) + 1 tokens; matching
-   classes share one of these. Candidates pass the length filter and the positional filter (the most tokens
+   classes share one of these, early in the smaller one. Candidates pass the length filter and the positional filter (the most tokens
    they can still share, by the place of the common token).
 4. Candidates meet in two rounds: first each class with the earliest class of each of its index entries; classes
    that match are settled, since one earlier match is enough. The rest meet all earlier classes of the entry.
@@ -61,16 +61,16 @@ def _with_tokens(rows: DataFrame, width: int, name: str, *keep: str) -> DataFram
 
 
 def _ordered_prefixes(tokens: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """cid, rank, n, pos, t of class prefixes with frequent tokens last, and the token sets of all classes among them.
+    """cid, n, pos, t of class prefixes with frequent tokens last, and the token sets of all classes among them.
 
-    tokens: cid, rank, tokens (sorted by hash). Prefixes by hash come first; classes without a token in common with another
+    tokens: cid, tokens (sorted by hash). Prefixes by hash come first; classes without a token in common with another
     prefix are done. The frequent tokens of the others' prefixes (in more than OFTEN classes) tell which classes need
     more: of these, all tokens are counted, and every class with a frequent token in its prefix gets a new one. A class
     without keeps its own, since skipping frequent tokens doesn't change it.
     """
     n = F.size("tokens")
     length = (n - F.ceil(n * percent / 100) + 1).cast("int")
-    index = tokens.select("cid", "rank", n.alias("n"), F.posexplode_outer(F.slice("tokens", 1, length)).alias("pos", "t"))
+    index = tokens.select("cid", n.alias("n"), F.posexplode_outer(F.slice("tokens", 1, length)).alias("pos", "t"))
     index = written(index.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("t"))).where("df > 1"), "line-prefixes")
     sets = written(tokens.join(index.select("cid").distinct(), "cid", "left_semi"), "line-tokens")
     crowded = index.where(F.col("df") > OFTEN).select("cid").distinct()
@@ -79,10 +79,10 @@ def _ordered_prefixes(tokens: DataFrame, percent: int) -> tuple[DataFrame, DataF
     every = sets.join(crowded, "cid", "left_semi").select(F.explode_outer("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     hot = written(index.where(F.col("df") > OFTEN).select("t").unionByName(every.where(F.col("df") > OFTEN).select("t")).distinct(), "line-frequent")
     again = written(index.join(hot, "t", "left_semi").select("cid").distinct(), "line-crowded")
-    spread = sets.join(again, "cid", "left_semi").select("cid", "rank", n.alias("n"), F.explode_outer("tokens").alias("t")).join(hot.withColumn("hot", F.lit(True)), "t", "left")
-    spread = spread.groupBy("cid", "n").agg(F.first("rank").alias("rank"), F.array_sort(F.collect_list(F.struct(F.coalesce("hot", F.lit(False)).alias("hot"), "t"))).alias("order"))
+    spread = sets.join(again, "cid", "left_semi").select("cid", n.alias("n"), F.explode_outer("tokens").alias("t")).join(hot.withColumn("hot", F.lit(True)), "t", "left")
+    spread = spread.groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("hot", F.lit(False)).alias("hot"), "t"))).alias("order"))
     first = F.slice("order", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    renewed = spread.select("cid", "rank", "n", F.posexplode_outer(first).alias("pos", "x")).select("cid", "rank", "n", "pos", "x.t")
+    renewed = spread.select("cid", "n", F.posexplode_outer(first).alias("pos", "x")).select("cid", "n", "pos", "x.t")
     return index.drop("df").join(again, "cid", "left_anti").unionByName(renewed), sets
 
 
@@ -94,17 +94,21 @@ def removed_lines(documents: DataFrame, percent: int = 80, width: int = 5, id_co
 
     classes = lines.select(*key, rank, "normal").groupBy("k1", "k2").agg(F.min("rank").alias("rank"), F.min("normal").alias("normal"), F.count(F.lit(1)).alias("times"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "line-classes")
-    tokens = _with_tokens(classes, width, "ts", "cid", "rank").select("cid", "rank", F.sort_array(F.array_distinct("ts")).alias("tokens"))
+    tokens = _with_tokens(classes, width, "ts", "cid").select("cid", F.sort_array(F.array_distinct("ts")).alias("tokens"))
     index, known = _ordered_prefixes(tokens, percent)
     by_token = Window.partitionBy("t")
     index = index.withColumn("df", F.count(F.lit(1)).over(by_token)).where("df > 1")
+    index = index.join(classes.select("cid", "rank"), "cid")
     index = index.withColumn("hub", F.min(F.struct("rank", "cid", "n", "pos")).over(by_token))
     index = written(index.select("t", "cid", "rank", "n", "pos", "hub"), "line-index")
 
     def plausible(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
         least, most = F.least(na, nb), F.greatest(na, nb)
         bound = F.least(pa, pb) + F.least(na - pa, nb - pb)  # tokens before, and from the common one on
-        return (100 * least >= percent * most) & ((100 + percent) * bound >= percent * (na + nb))
+        # the smaller set of a match has a common token in a still shorter prefix
+        brief = lambda n: n - F.ceil(2 * percent * n / (100 + percent)) + 1
+        early = F.when(na <= nb, pa < brief(na)).otherwise(pb < brief(nb))
+        return early & (100 * least >= percent * most) & ((100 + percent) * bound >= percent * (na + nb))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Classes b of the pairs (a, b) that match."""
@@ -113,14 +117,19 @@ def removed_lines(documents: DataFrame, percent: int = 80, width: int = 5, id_co
         common = F.size(F.array_intersect("set_a", "set_b"))
         return both.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select(F.col("b").alias("cid")).distinct()
 
-    first = index.where(F.col("cid") != F.col("hub.cid")).where(plausible(F.col("hub.n"), F.col("hub.pos"), F.col("n"), F.col("pos")))
-    first_pairs = written(first.select(F.col("hub.cid").alias("a"), F.col("cid").alias("b")).distinct(), "line-pairs")
+    def candidates(met: DataFrame) -> DataFrame:
+        """Pairs a, b of meetings (a, na, pa, b, nb, pb): nothing is common before the first common token of both."""
+        pairs = met.where(plausible(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))).groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
+        return pairs.where((100 + percent) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+    first = index.where(F.col("cid") != F.col("hub.cid")).select(F.col("hub.cid").alias("a"), F.col("hub.n").alias("na"), F.col("hub.pos").alias("pa"), F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    first_pairs = written(candidates(first), "line-pairs")
     settled = written(verified(first_pairs), "line-settled")
 
     later = index.join(settled, "cid", "left_anti").select("t", F.col("cid").alias("b"), F.col("rank").alias("rank_b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("hub.cid").alias("hub"))
     earlier = index.select("t", F.col("cid").alias("a"), F.col("rank").alias("rank_a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    pairs = later.join(earlier, "t").where("a != hub and rank_a < rank_b").where(plausible(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")))
-    second = verified(written(pairs.select("a", "b").distinct(), "line-pairs"))
+    met = later.join(earlier, "t").where("a != hub and rank_a < rank_b")
+    second = verified(written(candidates(met), "line-pairs"))
 
     matched = settled.unionByName(second)
     # lines of matched classes go, as do the later lines of any other class
@@ -138,11 +147,12 @@ def dedup_lines(documents: DataFrame, percent: int = 80, width: int = 5, id_colu
     gone = removed_lines(documents, percent, width, id_column, text_column).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     gone = gone.withColumnRenamed("doc_id", "id")
     rows = documents.select(F.struct("*").alias("row"))
-    lines = F.split(F.col("row")[text_column], "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
-    text = F.when(F.col("gone").isNull(), F.col("row")[text_column]).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     joined = rows.join(gone.hint("shuffle_hash"), F.col("row")[id_column].eqNullSafe(F.col("id")), "left")
-    return joined.select(*(text.alias(c) if c == text_column else F.col("row")[c].alias(c) for c in documents.columns))
+    # lines are a column of their own, or each step of the lambda would split the text again
+    parted = joined.select("row", "gone", F.when(F.col("gone").isNotNull(), F.split(F.col("row")[text_column], "\n")).alias("lines"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    text = F.when(F.col("gone").isNull(), F.col("row")[text_column]).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
+    return parted.select(*(text.alias(c) if c == text_column else F.col("row")[c].alias(c) for c in documents.columns))
 
 
 def line_dedup_sql(percent: int, width: int) -> str:
