@@ -219,6 +219,22 @@ def test_quality_rejects_other_distributions(spark):
     assert all(found[i] for i in range(60)) and not found[100] and not found[101]
 
 
+@pytest.mark.parametrize("sent", [256, 2])
+def test_quality_has_a_reference_for_every_language(spark, monkeypatch, sent):
+    say = lambda lang, i, n: " ".join(f"{lang}{(i * 7 + j) % 40}" + ("," if j % 9 == 0 else "") for j in range(n))
+    rows = [(100 * k + i, say("pqrst"[k], i, 90), "pqrst"[k]) for k in range(5) for i in range(40 - k)]
+    junk = [(900 + k, " ".join(f"{j}#" for j in range(90)), x) for k, x in enumerate([*"pqrst", None])]
+    bare = [(1000 + k, say("pqrst"[k], 3, 90), None) for k in range(5)]  # each language's words, but no language
+    thin = [(2000 + i, say("z", i, 60), "thin") for i in range(3)]
+    table = spark.createDataFrame(rows + junk + bare + thin, "doc_id long, text string, lang string").repartition(3)
+    monkeypatch.setattr(quality, "LANGUAGES", sent)
+    found = {r.doc_id: r for r in quality.judge(table).collect()}
+    assert len(found) == table.count()
+    assert all(found[r[0]].kept for r in rows + bare + thin) and not any(found[r[0]].kept for r in junk)
+    assert all(found[r[0]].word_distance is None and found[r[0]].class_distance is None for r in thin)
+    assert sorted(r.doc_id for r in quality.keep_documents(table).collect()) == sorted(r[0] for r in rows + bare + thin)
+
+
 def test_divergence():
     p = np.array([[1.0, 0.0], [0.5, 0.5]])
     assert quality.distance(p, np.array([0.0, 1.0]))[0] == 1 and quality.distance(p, np.array([0.5, 0.5]))[1] == 0

@@ -8,10 +8,14 @@ Jensen-Shannon distance (square root of the divergence, base 2, so from 0 to 1):
 * common words: the `COMMON` heaviest of `BINS` hash bins of the language's lower-cased words, and one class
   for all other words.
 
-A reference is the sum over all documents of the language, made in a first pass: a fixed-size table per
-language (bins, not words), summed map-side, then by key. The `LANGUAGES` languages with the most words have
-their own reference if they have at least `LEAST_WORDS` words; all other documents, those without a language
-too, use the sum of all. So what is sent to every task has a fixed size bound, whatever the corpus.
+A reference is the sum over all documents of the language, made in a first pass: a fixed-size row per
+language (bins, not words), summed map-side, then by key. Every language has its own, however many there are:
+those of the `LANGUAGES` languages with the most words are sent to every task; documents of any other language are
+joined with theirs. So what is sent at once has a fixed size bound, whatever the corpus.
+
+A document without a language takes the nearest of all references (least sum of both distances), that of all such
+documents among them; they are tried `LANGUAGES` at a time. A reference of fewer than `LEAST_WORDS` words is no
+evidence: distances from it are left out (null), and base rules alone decide.
 
 Minimum-length guards: the class distance counts for texts of at least `class_bytes` bytes, the word distance
 for at least `word_count` words; the limits widen with 1 / sqrt(length), as sampling noise does. A text fails
@@ -19,13 +23,13 @@ if a distance that counts exceeds its limit.
 
 Base rules come first (see `base` columns); a document is kept if it passes both.
 
-Nulls: a null text has no word and fails the base rules; a null language takes the general reference; a null id
+Nulls: a null text has no word and fails the base rules; a null language takes the nearest reference; a null id
 is kept; each repeated row is judged on its own; an empty table gives an empty result. Extra columns aren't read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
+from .stage import written
 
 BINS = 4096
 COMMON = 64
@@ -64,8 +69,13 @@ def _histograms(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return classes, owner, (hashes >> np.uint64(52)).astype(np.int64) % BINS
 
 
-def references(documents: DataFrame, lang_column: str = "lang", text_column: str = "text") -> dict[str | None, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Language (None: general) to class shares, common bins, and their shares with the rest's last. Over all documents."""
+#: Class shares, common bins, and their shares with the rest's last.
+Reference = tuple[np.ndarray, np.ndarray, np.ndarray]
+_PARTS = ["classes", "common", "shares"]
+
+
+def references(documents: DataFrame, lang_column: str = "lang", text_column: str = "text") -> DataFrame:
+    """lang (null: documents without one), words, classes, common, shares of every language with enough words. Over all documents."""
     rows = documents.select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,24 +109,17 @@ def references(documents: DataFrame, lang_column: str = "lang", text_column: str
         if sums:
             yield flush()
 
-    counted = rows.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    counted = counted.persist()
-    try:
-        heavy = counted.where((F.col("bin") >= CLASSES) & F.col("lang").isNotNull()).groupBy("lang").agg(F.sum("n").alias("words")).where(F.col("words") >= LEAST_WORDS)
-        heavy = heavy.orderBy(F.desc("words"), "lang").limit(LANGUAGES)
-        own = counted.join(F.broadcast(heavy.select("lang")), "lang").select("lang", "bin", "n")  # at most LANGUAGES rows
-        general = counted.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "bin", "n")
-        table = own.unionByName(general).toPandas()  # at most (LANGUAGES + 1) * (CLASSES + BINS) rows
-    finally:
-        counted.unpersist()
-    out = {}
-    for lang, group in table.groupby("lang", dropna=False):
+    def reference(table: pa.Table) -> pa.Table:
         v = np.zeros(CLASSES + BINS)
-        v[group["bin"].to_numpy()] = group["n"].to_numpy()
+        v[table["bin"].to_numpy()] = table["n"].to_numpy()
         common = np.argsort(-v[CLASSES:], kind="stable")[:COMMON]
         shares = np.append(v[CLASSES:][common], v[CLASSES:].sum() - v[CLASSES:][common].sum())
-        out[lang if isinstance(lang, str) else None] = (v[:CLASSES] / max(1, v[:CLASSES].sum()), common, shares / max(1, shares.sum()))
-    return out
+        parts = v[:CLASSES] / max(1, v[:CLASSES].sum()), common.astype(np.int32), shares / max(1, shares.sum())
+        return pa.table([table["lang"].slice(0, 1), pa.array([int(v[CLASSES:].sum())]), *(pa.array([x]) for x in parts)], ["lang", "words", *_PARTS])
+
+    counted = rows.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    made = counted.groupBy("lang").applyInArrow(reference, "lang string, words long, classes array<double>, common array<int>, shares array<double>")
+    return made.where(F.col("words") >= LEAST_WORDS)  # at most CLASSES + BINS rows a group
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -161,38 +164,103 @@ def _base(at: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
 _VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
 
 
-def _verdicts(known: dict, class_limit: float = 0.17, class_noise: float = 1.5, word_limit: float = 0.115, word_noise: float = 3.0, class_bytes: int = 100, word_count: int = 20):
-    """A function from texts and languages (Arrow) to the columns of _VERDICT."""
-
-    def verdict(texts: pa.Array, langs: pa.Array) -> dict[str, pa.Array]:
-        at, data = tx.flat(texts)
-        out = _base(at, data)
-        classes, owner, bins = _histograms(at, data)
-        coded = langs.dictionary_encode()
-        code = np.asarray(coded.indices.fill_null(len(coded.dictionary)))
-        first, second = np.zeros(len(classes)), np.zeros(len(classes))
-        for k, lang in enumerate([*coded.dictionary.to_pylist(), None]):
-            own = np.flatnonzero(code == k)
-            if not len(own):
-                continue
-            class_shares, common, shares = known.get(lang, known[None])
+def _measured(texts: pa.Array, langs: pa.Array, known: dict[str | None, Reference], near: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Both distances of each text from the reference of its language; without a language, from the nearest, `near` included. NaN without a reference."""
+    classes, owner, bins = _histograms(*tx.flat(texts))
+    coded = langs.dictionary_encode()
+    code = np.asarray(coded.indices.fill_null(len(coded.dictionary)))
+    first, second = near or (np.full(len(classes), np.nan), np.full(len(classes), np.nan))
+    for k, lang in enumerate([*coded.dictionary.to_pylist(), None]):
+        own = np.flatnonzero(code == k)
+        if not len(own):
+            continue
+        number = np.full(len(classes), -1)
+        number[own] = np.arange(len(own))
+        mine = number[owner] >= 0
+        for class_shares, common, shares in known.values() if lang is None else [known[lang]] if lang in known else []:
             place = np.full(BINS, COMMON)
             place[common] = np.arange(len(common))
-            number = np.full(len(classes), -1)
-            number[own] = np.arange(len(own))
-            mine = number[owner] >= 0
             counts = _per_doc(number[owner[mine]], place[bins[mine]], len(own), COMMON + 1)
-            first[own] = distance(classes[own] / np.maximum(1, classes[own].sum(1, keepdims=True)), class_shares)
-            second[own] = distance(counts / np.maximum(1, counts.sum(1, keepdims=True)), shares)
+            one = distance(classes[own] / np.maximum(1, classes[own].sum(1, keepdims=True)), class_shares)
+            two = distance(counts / np.maximum(1, counts.sum(1, keepdims=True)), shares)
+            better = ~(first[own] + second[own] <= one + two)
+            first[own[better]], second[own[better]] = one[better], two[better]
+    return first, second
+
+
+def _verdicts(class_limit: float = 0.17, class_noise: float = 1.5, word_limit: float = 0.115, word_noise: float = 3.0, class_bytes: int = 100, word_count: int = 20):
+    """A function from texts (Arrow) and their distances to the columns of _VERDICT."""
+
+    def verdict(texts: pa.Array, first: np.ndarray, second: np.ndarray) -> dict[str, pa.Array]:
+        at, data = tx.flat(texts)
+        out = _base(at, data)
         n, size = out["n_words"], np.diff(at)
         base_failed = (n < 20) | (100 * out["n_repeat_words"] > 30 * n)
-        first_counts, second_counts = size >= class_bytes, n >= word_count
+        first_counts, second_counts = (size >= class_bytes) & ~np.isnan(first), (n >= word_count) & ~np.isnan(second)
         far = (first_counts & (first > class_limit + class_noise / np.sqrt(np.maximum(1, size)))) | (second_counts & (second > word_limit + word_noise / np.sqrt(np.maximum(1, n))))
         return {c: pa.array(v.astype(np.int64)) for c, v in out.items()} | {"base_failed": pa.array(base_failed), "kept": pa.array(~base_failed & ~far), "class_distance": pa.array(first, mask=~first_counts), "word_distance": pa.array(second, mask=~second_counts)}
 
     return verdict
 
 
+def _judged(rows: DataFrame, known: DataFrame, emit: Callable[[pa.RecordBatch, dict[str, pa.Array]], pa.RecordBatch], schema: T.StructType | str, limits: dict) -> DataFrame:
+    """What `emit` makes of slices of rows (text, lang and others) and their verdicts."""
+    verdict = _verdicts(**limits)
+    known = written(known, "quality-references")
+
+    def parts(found: list | dict) -> Reference:
+        return tuple(np.array(found[c]) for c in _PARTS)
+
+    def sent(batches: Iterator[pa.RecordBatch], refs: dict) -> Iterator[pa.RecordBatch]:
+        for part in tx.slices(batches, "text"):
+            yield emit(part, verdict(part.column("text"), *_measured(part.column("text"), part.column("lang"), refs)))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in tx.slices(batches, "text"):
+            refs = {}
+            for i, lang in enumerate(part.column("lang").to_pylist()):
+                if lang not in refs and part.column("shares")[i].is_valid:
+                    refs[lang] = parts({c: part.column(c)[i].as_py() for c in _PARTS})
+            yield emit(part, verdict(part.column("text"), *_measured(part.column("text"), part.column("lang"), refs)))
+
+    ranked = known.orderBy(F.desc("words"), "lang").limit(LANGUAGES)
+    heavy = {r.lang: parts(r.asDict()) for r in ranked.collect()}  # at most LANGUAGES rows
+    if known.count() <= LANGUAGES:
+        return rows.mapInArrow(lambda batches: sent(batches, heavy), schema)
+    lang, most = F.col("lang"), [x for x in heavy if x is not None]
+    light = known.where(lang.isNotNull() & ~lang.isin(most))
+    out = rows.where(lang.isin(most)).mapInArrow(lambda batches: sent(batches, heavy), schema)
+    out = out.unionByName(rows.where(lang.isNotNull() & ~lang.isin(most)).join(light.drop("words"), "lang", "left").mapInArrow(joined, schema))
+
+    # rows without a language meet all references, LANGUAGES at a time, and keep the least distances so far
+    near = rows.where(lang.isNull()).withColumns({"first": F.lit(float("nan")), "second": F.lit(float("nan"))})
+    shape = T.StructType([T.StructField(f.name, f.dataType) for f in near.schema])
+
+    def nearest(refs: dict) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in tx.slices(batches, "text"):
+                so_far = tuple(np.array(part.column(c)) for c in ("first", "second"))
+                both = _measured(part.column("text"), part.column("lang"), refs, so_far)
+                others = [c for c in part.schema.names if c not in ("first", "second")]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *map(pa.array, both)], [*others, "first", "second"])
+
+        return run
+
+    chunk: dict = {}
+    for r in known.toLocalIterator():
+        chunk[r.lang] = parts(r.asDict())
+        if len(chunk) == LANGUAGES:
+            near, chunk = near.mapInArrow(nearest(chunk), shape), {}
+    if chunk:
+        near = near.mapInArrow(nearest(chunk), shape)
+
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in tx.slices(batches, "text"):
+            yield emit(part, verdict(part.column("text"), *(np.array(part.column(c)) for c in ("first", "second"))))
+
+    return out.unionByName(near.mapInArrow(decided, schema))
+
+
 def judge(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", **limits) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance.
 
@@ -200,26 +268,22 @@ def judge(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
     twice or more in the text. base_failed: n_words < 20 or 100 * n_repeat_words > 30 * n_words. A distance that a
     length guard leaves out is null. limits: class_limit, class_noise, word_limit, word_noise, class_bytes, word_count.
     """
-    verdict = _verdicts(references(documents, lang_column, text_column), **limits)
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tx.slices(batches, "text"):
-            columns = {"doc_id": part.column("doc_id")} | verdict(part.column("text"), part.column("lang"))
-            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+    def emit(part: pa.RecordBatch, found: dict[str, pa.Array]) -> pa.RecordBatch:
+        columns = {"doc_id": part.column("doc_id")} | found
+        return pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, {_VERDICT}")
+    return _judged(rows, references(documents, lang_column, text_column), emit, f"doc_id {kind}, {_VERDICT}", limits)
 
 
 def keep_documents(documents: DataFrame, text_column: str = "text", lang_column: str = "lang", **limits) -> DataFrame:
-    """The documents that `judge` keeps, with all their columns. No shuffle; all columns pass through unread."""
-    verdict = _verdicts(references(documents, lang_column, text_column), **limits)
+    """The documents that `judge` keeps, with all their columns, which pass through unread. Only documents of light languages are shuffled."""
     rows = documents.select(F.struct("*").alias("row"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tx.slices(batches, "text"):
-            kept = verdict(part.column("text"), part.column("lang"))["kept"]
-            yield pa.RecordBatch.from_arrays([part.column("row").filter(kept)], ["row"])
+    def emit(part: pa.RecordBatch, found: dict[str, pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column("row").filter(found["kept"])], ["row"])
 
-    return rows.mapInArrow(run, T.StructType([T.StructField("row", documents.schema)])).select("row.*")
+    schema = T.StructType([T.StructField("row", documents.schema)])
+    return _judged(rows, references(documents, lang_column, text_column), emit, schema, limits).select("row.*")
