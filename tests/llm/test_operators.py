@@ -274,6 +274,26 @@ def test_line_dedup(spark, docs, monkeypatch):
     same(lines.dedup_lines(near, 80, 5), lines.line_dedup_sql(80, 5), documents=near)
 
 
+def test_line_dedup_of_short_lines(spark, docs):
+    table = docs.where("doc_id < 60").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    more = [(100, "And ornd.\n\n  \nOf, edti oner.\nAnd ornd."), (101, " and  ORND.\nof,\na b c d e\na b c d"), (102, "And ornd\nOf, edti oner.\na b c d\nOF,\n\na b c d e")]
+    table = table.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    seen, want = [], {}
+    for r in sorted(table.collect(), key=lambda r: r.doc_id):
+        kept = []
+        for line in (r.text or "").split("\n"):
+            w = WORD.findall(line.lower())
+            own = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+            if not own or not any(100 * len(own & x) >= 80 * len(own | x) for x in seen):
+                kept.append(line)
+            if own:
+                seen.append(own)
+        want[r.doc_id] = r.text and "\n".join(kept)
+    assert {r.doc_id: r.text for r in lines.dedup_lines(table, short_lines=True).collect()} == want
+    assert want[102] == "And ornd\n" and want[100] == "And ornd.\n\n  \nOf, edti oner."
+    assert lines.dedup_lines(table).where("doc_id = 102").first().text == "And ornd\nOf, edti oner.\na b c d\nOF,\n"
+
+
 def test_search(docs, monkeypatch):
     unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).cache()
     monkeypatch.setattr(search, "BLOCK", 4)

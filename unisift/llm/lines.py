@@ -4,7 +4,8 @@ A line's tokens are its distinct shingles of `width` lower-cased words (words ar
 space). Two lines match when 100 * intersection >= percent * union of their token sets. Lines have a rank, by
 document id (null last), then line number. A line is removed if a line of smaller rank matches it, whether that
 line is itself removed or not; lines of equal rank (repeated rows) don't remove one another. Lines with fewer
-than `width` words have no shingle: they are kept and match nothing.
+than `width` words have no shingle: they are kept and match nothing, unless `short_lines` is set. Then a line of 1 to
+width - 1 words has one token, its whole word sequence, so it goes if an equal line has a smaller rank.
 
 1. Equal lines (after lower-casing and joining words by one space) form a class, represented by its first
    line; copies of any number meet in a map-side aggregate.
@@ -45,13 +46,18 @@ def _normal(line: Column) -> Column:
     return F.lower(F.when(other | loose, F.array_join(words, " ")).otherwise(line))
 
 
-def _lines(documents: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, line_no, normal of the lines with at least `width` words."""
+def _worded(width: int) -> Column:
+    """Whether `normal` has at least `width` words."""
+    return F.length("normal") - F.length(F.replace("normal", F.lit(" "))) >= width - 1
+
+
+def _lines(documents: DataFrame, width: int, id_column: str, text_column: str, short_lines: bool) -> DataFrame:
+    """doc_id, line_no, normal of the lines with at least `width` words; short_lines: of all with a word."""
     docs = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     lines = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
     # a cheap test on the line itself first: one space fewer than words at least, whatever the white space is
-    worded = lines.where(F.length("line") >= 2 * width - 1).select("doc_id", "line_no", _normal(F.col("line")).alias("normal"))
-    return worded.where(F.length("normal") - F.length(F.replace("normal", F.lit(" "))) >= width - 1)
+    worded = lines.where(F.length("line") >= (1 if short_lines else 2 * width - 1)).select("doc_id", "line_no", _normal(F.col("line")).alias("normal"))
+    return worded.where(F.col("normal") != "" if short_lines else _worded(width))
 
 
 def _with_tokens(rows: DataFrame, width: int, name: str, *keep: str) -> DataFrame:
@@ -86,15 +92,17 @@ def _ordered_prefixes(tokens: DataFrame, percent: int) -> tuple[DataFrame, DataF
     return index.drop("df").join(again, "cid", "left_anti").unionByName(renewed), sets
 
 
-def removed_lines(documents: DataFrame, percent: int = 80, width: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def removed_lines(documents: DataFrame, percent: int = 80, width: int = 5, id_column: str = "doc_id", text_column: str = "text", short_lines: bool = False) -> DataFrame:
     """Lines to remove: doc_id, line_no (from 0, of the text split at \\n)."""
-    lines = _lines(documents, width, id_column, text_column)
+    lines = _lines(documents, width, id_column, text_column, short_lines)
     key = [F.xxhash64("normal").alias("k1"), F.xxhash64(F.lit(width), "normal").alias("k2")]
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no").alias("rank")
 
     classes = lines.select(*key, rank, "normal").groupBy("k1", "k2").agg(F.min("rank").alias("rank"), F.min("normal").alias("normal"), F.count(F.lit(1)).alias("times"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "line-classes")
-    tokens = _with_tokens(classes, width, "ts", "cid").select("cid", F.sort_array(F.array_distinct("ts")).alias("tokens"))
+    # a short line's one token is in its own class only
+    shingled = classes.where(_worded(width)) if short_lines else classes
+    tokens = _with_tokens(shingled, width, "ts", "cid").select("cid", F.sort_array(F.array_distinct("ts")).alias("tokens"))
     index, known = _ordered_prefixes(tokens, percent)
     by_token = Window.partitionBy("t")
     index = index.withColumn("df", F.count(F.lit(1)).over(by_token)).where("df > 1")
@@ -139,12 +147,12 @@ def removed_lines(documents: DataFrame, percent: int = 80, width: int = 5, id_co
     return placed.join(fate, ["k1", "k2"]).where("gone or rank > first").select("rank.doc_id", "rank.line_no")
 
 
-def dedup_lines(documents: DataFrame, percent: int = 80, width: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def dedup_lines(documents: DataFrame, percent: int = 80, width: int = 5, id_column: str = "doc_id", text_column: str = "text", short_lines: bool = False) -> DataFrame:
     """The documents with all their columns, and texts without the removed lines.
 
     Documents are joined by id: rows that share an id have lines of equal rank, which go together.
     """
-    gone = removed_lines(documents, percent, width, id_column, text_column).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    gone = removed_lines(documents, percent, width, id_column, text_column, short_lines).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     gone = gone.withColumnRenamed("doc_id", "id")
     rows = documents.select(F.struct("*").alias("row"))
     joined = rows.join(gone.hint("shuffle_hash"), F.col("row")[id_column].eqNullSafe(F.col("id")), "left")
