@@ -193,6 +193,28 @@ def test_units(docs):
     assert units.repeated_units(empty(docs)).count() == 0
 
 
+def test_units_of_several_kinds(spark, docs):
+    table = docs.where("doc_id < 60").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    more = [(100, "Nt onor. The of it.\nfirst here\n\nx y\nz"), (101, "a. b.\nNt onor. The of it!\n...\n\nX y\nz.\n\n..."), (102, "The of it.\nfirst  HERE\nsome more. one two three four five. q"), (103, "y. one two three four five! end")]
+    table = table.unionByName(spark.createDataFrame(more, "doc_id long, text string")).cache()
+    kinds = {"line": (r"[^\n]+", 1), "paragraph": (r"[^\n]+(?:\n[^\n]+)*", 1), "sentence": (r"[^\n.!?]+[.!?]*", 5)}
+    want, spans, seen = {}, set(), set()
+    for r in sorted(table.collect(), key=lambda r: r.doc_id):
+        drop = set()
+        for kind, (pattern, least) in kinds.items():
+            for m in re.finditer(pattern, r.text or ""):
+                normal = " ".join(WORD.findall(m[0].translate(LOWER))).strip(" .!?")
+                if normal and normal.count(" ") + 1 >= least:
+                    if (kind, normal) in seen:
+                        spans.add((r.doc_id, kind, m.start(), m.end() - m.start()))
+                        drop.update(range(m.start(), m.end()))
+                    seen.add((kind, normal))
+        want[r.doc_id] = r.text and "".join(c for k, c in enumerate(r.text) if k not in drop)
+    assert {(r.doc_id, r.unit, r.start, r.length) for r in units.repeated_units(table, tuple(kinds)).collect()} == spans
+    assert {r.doc_id: r.text for r in units.dedup_units(table, tuple(kinds)).collect()} == want
+    assert want[101] == "a. b.\n\n...\n\n\n\n..." and want[103] == "y. end"
+
+
 def test_quality(docs, rows):
     found = quality.judge(docs)
     got = sorted(((r.doc_id is None, r.doc_id or 0), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in found.collect())

@@ -5,6 +5,9 @@ Texts are cut into units, with their place in the original text (in characters):
 * `line`: between \\n; `paragraph`: between blank lines; `sentence`: within a line, up to a run of `.`, `!` or `?`
   or the line's end, so a passage that was pasted into a line still has units of its own.
 
+Several kinds can be asked for at once: a unit goes if its line, its paragraph or its sentence has an earlier occurrence.
+`least_words` then holds for sentences; lines and paragraphs need one word.
+
 A unit is normalised: A-Z to a-z, white space runs to one space, ends trimmed of white space and `.!?`. Units with at
 least `least_words` words are grouped by a 128-bit digest over the whole table; the occurrence of smallest rank
 (document id, null last, then place) stays and all others are to be removed. `repeated_units` returns their original
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -43,48 +46,59 @@ _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(0x41, 0x5B)})
 _TRIM = "\x20\x09\x0a\x0b\x0c\x0d.!?"
 
 
-def _units(documents: DataFrame, unit: str, least_words: int, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, start, length, n_words, h1, h2 of all units that are long enough."""
+def _units(documents: DataFrame, unit: str | tuple[str, ...], least_words: int, id_column: str, text_column: str) -> DataFrame:
+    """doc_id, start, length, n_words, h1, h2 of all units that are long enough; of several kinds, unit too."""
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    pattern = _UNITS[unit]
+    kinds = [unit] if isinstance(unit, str) else [*unit]
+    several = not isinstance(unit, str)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches, "text"):
-            owner, start, length, words, digests = [], [], [], [], []
-            for i, text in enumerate(part.column("text").to_pylist()):
-                for m in pattern.finditer(text or ""):
-                    normal = _WHITE.sub(" ", m[0].translate(_LOWER)).strip(_TRIM)
-                    n = normal.count(" ") + 1
-                    if n >= least_words:
-                        owner.append(i)
-                        start.append(m.start())
-                        length.append(m.end() - m.start())
-                        words.append(n)
-                        digests.append(hashlib.blake2b(normal.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-            if owner:
+            texts = part.column("text").to_pylist()
+            for kind_of in kinds:
+                pattern, least = _UNITS[kind_of], 1 if several and kind_of != "sentence" else least_words
+                owner, start, length, words, digests = [], [], [], [], []
+                for i, text in enumerate(texts):
+                    for m in pattern.finditer(text or ""):
+                        normal = _WHITE.sub(" ", m[0].translate(_LOWER)).strip(_TRIM)
+                        n = normal.count(" ") + 1
+                        if n >= least and (normal or not several):
+                            owner.append(i)
+                            start.append(m.start())
+                            length.append(m.end() - m.start())
+                            words.append(n)
+                            digests.append(hashlib.blake2b(normal.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                if not owner:
+                    continue
                 h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(owner)), *(pa.array(x, pa.int32()) for x in (start, length, words)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())],
-                    ["doc_id", "start", "length", "n_words", "h1", "h2"],
+                    [part.column("doc_id").take(pa.array(owner)), *(pa.array(x, pa.int32()) for x in (start, length, words)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), *([pa.array([kind_of] * len(owner))] if several else [])],
+                    ["doc_id", "start", "length", "n_words", "h1", "h2", *(["unit"] if several else [])],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(cut, f"doc_id {kind}, start int, length int, n_words int, h1 long, h2 long")
+    return rows.mapInArrow(cut, f"doc_id {kind}, start int, length int, n_words int, h1 long, h2 long" + (", unit string" if several else ""))
 
 
-def repeated_units(documents: DataFrame, unit: str = "sentence", least_words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Units to remove: doc_id, start, length, n_words, first_doc_id, first_start (of the one that stays)."""
+def repeated_units(documents: DataFrame, unit: str | tuple[str, ...] = "sentence", least_words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Units to remove: doc_id, start, length, n_words, first_doc_id, first_start (of the one that stays); of several kinds, unit too."""
+    kind = [] if isinstance(unit, str) else ["unit"]
     units = _units(documents, unit, least_words, id_column, text_column)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
-    first = units.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1").select("h1", "h2", "first")
+    first = units.groupBy("h1", "h2", *kind).agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1").select("h1", "h2", *kind, "first")
     first = written(first, "repeated-units")
-    joined = units.withColumn("rank", rank).join(first, ["h1", "h2"]).where("rank > first")
-    return joined.select("doc_id", "start", "length", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
+    joined = units.withColumn("rank", rank).join(first, ["h1", "h2", *kind]).where("rank > first")
+    return joined.select("doc_id", "start", "length", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), *kind)
 
 
-def dedup_units(documents: DataFrame, unit: str = "sentence", least_words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def dedup_units(documents: DataFrame, unit: str | tuple[str, ...] = "sentence", least_words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents with all their columns, and texts without the units to remove; documents are joined by id."""
     gone = repeated_units(documents, unit, least_words, id_column, text_column)
+    if not isinstance(unit, str):
+        # kinds lie in one another: the widest span stands for those within it
+        end = F.col("start") + F.col("length")
+        before = Window.partitionBy("doc_id").orderBy("start", F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
+        gone = gone.select("doc_id", "start", "length").distinct().withColumn("covered", F.coalesce(F.max(end).over(before), F.lit(0))).where(end > F.col("covered"))
     gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("gone")).withColumnRenamed("doc_id", "id")
     rows = documents.select(F.struct("*").alias("row"))
     joined = rows.join(gone.hint("shuffle_hash"), F.col("row")[id_column].eqNullSafe(F.col("id")), "left")
