@@ -125,6 +125,18 @@ def test_command(spark, tmp_path):
     assert options.exclude == ["a", "b", "c"] and options.fail_on_warn and options.scan_all
 
 
+def test_hidden_files(spark, tmp_path):
+    names = ["pkg/__init__.py", "pkg/mod.py", "_config.yml", ".github/x.yml", ".env", "_drafts/.hidden/a.md"]
+    for name in [*names, ".git/b.py", "pkg/__pycache__/c.py"]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x" + chr(0x200B) + " = 1\n")
+    (tmp_path / "gone.py").symlink_to(tmp_path / "nowhere")
+    out = engine.run(spark, engine.Options(scan_all=True), str(tmp_path))
+    assert {r.file for r in out.findings.collect()} == set(names) and out.files_scanned == len(names) and out.exit_code == 1
+    out = engine.run(spark, engine.Options(files=[f"{tmp_path}/pkg/__init__.py", f"{tmp_path}/.env", f"{tmp_path}/none"]))
+    assert {r.file for r in out.findings.collect()} == {f"{tmp_path}/pkg/__init__.py", f"{tmp_path}/.env"} and out.files_scanned == 2
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.py").write_text("x" + chr(0x200B) + " = 1\n")

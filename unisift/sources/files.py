@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import re
 import subprocess
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,21 +36,56 @@ def scannable(files: DataFrame, globs: list[str] | tuple[str, ...] = ()) -> Data
     return listed.where(~is_binary(F.col("content")))
 
 
+def _walk(root: str) -> Iterator[str]:
+    """Paths (relative) of the files below a local directory but those in excluded directories, whatever their names begin with."""
+    for folder, folders, names in os.walk(root):
+        folders[:] = [d for d in folders if d not in t.EXCLUDED_DIRECTORIES]
+        for name in names:
+            full = os.path.join(folder, name)
+            if os.path.isfile(full) and not any("\ud800" <= c <= "\udfff" for c in full):
+                yield os.path.relpath(full, root)
+
+
+def _read_local(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
+    """path, length, content of local files (path on disk, own path), read by tasks; content is null beyond the size limit.
+
+    Spark's own file sources leave out names that begin with `_` or `.`.
+    """
+    if not known:
+        return spark.createDataFrame([], "path string, length long, content binary")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for full, own in zip(batch.column("full").to_pylist(), batch.column("own").to_pylist(), strict=True):
+                try:
+                    size, content = os.path.getsize(full), None
+                    if size <= t.MOST_BYTES:
+                        with open(full, "rb") as f:
+                            content = f.read()
+                        size = len(content)
+                except OSError:  # gone or unreadable
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([size]), pa.array([content], pa.binary())], ["path", "length", "content"])
+
+    names = spark.createDataFrame(known, "full string, own string").repartition(min(len(known), 4 * spark.sparkContext.defaultParallelism))
+    return names.mapInArrow(read, "path string, length long, content binary")
+
+
 def files_from_directory(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), length, content of all files below a directory."""
+    """path (relative), length, content of all files below a directory; in a store that isn't local, without names that begin with `_` or `.`."""
+    local = re.sub("^file:(//)?", "", root)
+    if "://" not in local:
+        local = os.path.abspath(local)
+        return _read_local(spark, [(os.path.join(local, p), p) for p in _walk(local)])
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
+    base = root.rstrip("/").split("://")[-1]
     return read.select(F.regexp_replace("path", rf"^[a-z]*:?/*{re.escape(base.lstrip('/'))}/", "").alias("path"), "length", "content")
 
 
 def files_from_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The given files; those that don't exist are left out. Local paths keep their spelling."""
     known = {os.path.abspath(p): re.sub(r"^\./", "", p) for p in paths if os.path.isfile(p)}
-    if not known:
-        return spark.createDataFrame([], "path string, length long, content binary")
-    names = spark.createDataFrame(list(known.items()), "full string, own string")
-    read = spark.read.format("binaryFile").load(list(known)).withColumn("full", F.regexp_replace("path", "^file:/*", "/"))
-    return read.join(F.broadcast(names), "full").select(F.col("own").alias("path"), "length", "content")  # as many rows as given paths
+    return _read_local(spark, list(known.items()))
 
 
 def paths_from_list(path: str) -> list[str]:
