@@ -32,8 +32,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = dedup_lines(docs, percent=80, width=5)
-    return left.withColumn("n_chars", F.length("text").cast("long")).where(F.trim("text") != "").select(*docs.columns)
+    # a text of spaces alone, or none, has no line to lose
+    left = dedup_lines(docs.withColumn("had_text", F.coalesce(F.trim("text") != "", F.lit(False))), percent=80, width=5)
+    left = left.where(~F.col("had_text") | (F.trim("text") != ""))
+    return left.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

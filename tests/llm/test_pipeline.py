@@ -98,3 +98,11 @@ def test_pipeline(spark, tmp_path):
         assert len(stream) == p["doc_tokens"] and zlib.crc32(part) == p["ids_crc32"]
     assert sum(p["length"] for p in rows[5]) == sum(len(whole.encode(r["text"], add_special_tokens=False).ids) + 1 for r in rows[4])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(rows[5])
+
+
+def test_line_stage_keeps_texts_without_lines(spark, tmp_path):
+    rows = [(1, "a b c d e f", 11), (2, "A b c d e f", 11), (3, None, 3), (4, "", 0), (5, "  ", 2), (6, "a b c d e f\nown", 15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    left = corpus_pipeline.line_dedup(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect())) == [(1, "a b c d e f", 11), (3, None, 3), (4, "", 0), (5, "  ", 2), (6, "own", 3)]
