@@ -284,6 +284,12 @@ def test_linking_order_and_schemas(spark):
     assert found["z"].wave == found["z0"].wave == 0 and found["z0"].errors == ["$.n: not integer"]
 
 
+@pytest.mark.parametrize("schema", [{"pattern": "a"}, {"type": "object", "properties": {"n": {"exclusiveMinimum": 1}}}, {"items": {"anyOf": []}}, {"additionalProperties": {"type": "string"}}])
+def test_linking_refuses_unknown_keywords(schema):
+    with pytest.raises(ValueError, match="not supported"):
+        chat.link_calls(None, None, {"f": schema})
+
+
 def test_line_dedup(spark, docs, monkeypatch):
     unique = docs.where("doc_id is null or doc_id < 60").dropDuplicates(["doc_id"])  # the SQL joins by id
     for often in (32, 1):

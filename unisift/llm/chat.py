@@ -33,6 +33,24 @@ from .stage import written
 _TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "number": (int, float), "integer": int, "null": type(None)}
 
 
+_KEYWORDS = set("type enum minLength maxLength minimum maximum items properties required additionalProperties".split())
+_NOTES = set("title description default examples deprecated readOnly writeOnly $schema $id $comment".split())
+
+
+def supported(schema: dict, at: str = "$") -> None:
+    """Raise ValueError if the schema says what `violations` doesn't check."""
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: a schema that isn't an object is not supported")
+    if unknown := sorted(set(schema) - _KEYWORDS - _NOTES):
+        raise ValueError(f"{at}: not supported: {', '.join(unknown)}")
+    if not isinstance(schema.get("additionalProperties", True), bool):
+        raise ValueError(f"{at}: not supported: additionalProperties with a schema")
+    if "items" in schema:
+        supported(schema["items"], f"{at}[]")
+    for k, x in schema.get("properties", {}).items():
+        supported(x, f"{at}.{k}")
+
+
 def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
     """What of the schema the value breaks, in order."""
     kinds = schema.get("type")
@@ -96,7 +114,10 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     """calls: conv_id, turn, call_id, name, arguments (JSON), after (array of call_id); results: conv_id, turn, call_id, content.
 
     Returns conv_id, call_id, turn, wave, status, n_results, valid, errors, json; one row per call or unmatched identifier.
+    Schemas with keywords that aren't checked raise ValueError.
     """
+    for name, schema in schemas.items():
+        supported(schema, name)
     earliest = results.where("call_id is not null").groupBy("call_id").agg(F.count(F.lit(1)).alias("n_results"), F.min(F.struct("turn", "content", "conv_id")).alias("result"))
     earliest = written(earliest, "results").withColumnRenamed("call_id", "result_id")
     waves = _waves(calls).select(F.col("call_id").alias("wave_id"), "wave", F.lit(True).alias("turned"))
