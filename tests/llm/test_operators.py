@@ -290,36 +290,41 @@ def test_linking_refuses_unknown_keywords(schema):
         chat.link_calls(None, None, {"f": schema})
 
 
-def test_line_dedup(spark, docs, monkeypatch):
-    unique = docs.where("doc_id is null or doc_id < 60").dropDuplicates(["doc_id"])  # the SQL joins by id
-    for often in (32, 1):
-        monkeypatch.setattr(lines, "OFTEN", often)
-        found = lines.dedup_lines(unique.where("doc_id is not null"), 80, 5)
-        assert found.columns == unique.columns
-        same(found.select("doc_id", "text"), lines.line_dedup_sql(80, 5), documents=unique.where("doc_id is not null"))
-    assert lines.dedup_lines(docs).count() == docs.count() and lines.dedup_lines(empty(docs)).count() == 0
-    near = spark.createDataFrame([(i, " ".join(f"w{j}" if j != i % 3 else f"v{i}" for j in range(60))) for i in range(90)] + [(200, "\tW0  W1 w2 w3 w4")], "doc_id long, text string")
-    same(lines.dedup_lines(near, 80, 5), lines.line_dedup_sql(80, 5), documents=near)
-
-
-def test_line_dedup_of_short_lines(spark, docs):
-    table = docs.where("doc_id < 60").dropDuplicates(["doc_id"]).select("doc_id", "text")
-    more = [(100, "And ornd.\n\n  \nOf, edti oner.\nAnd ornd."), (101, " and  ORND.\nof,\na b c d e\na b c d"), (102, "And ornd\nOf, edti oner.\na b c d\nOF,\n\na b c d e")]
-    table = table.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
-    seen, want = [], {}
-    for r in sorted(table.collect(), key=lambda r: r.doc_id):
-        kept = []
-        for line in (r.text or "").split("\n"):
-            w = WORD.findall(line.lower())
-            own = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-            if not own or not any(100 * len(own & x) >= 80 * len(own | x) for x in seen):
-                kept.append(line)
-            if own:
-                seen.append(own)
-        want[r.doc_id] = r.text and "\n".join(kept)
-    assert {r.doc_id: r.text for r in lines.dedup_lines(table, short_lines=True).collect()} == want
-    assert want[102] == "And ornd\n" and want[100] == "And ornd.\n\n  \nOf, edti oner."
-    assert lines.dedup_lines(table).where("doc_id = 102").first().text == "And ornd\nOf, edti oner.\na b c d\nOF,\n"
+def plain_line_dedup(rows, percent=80, width=5):
+    """Texts by (id, text) of rows without the lines that match one of smaller rank: (id is null, id), text hash, line."""
+    placed = []
+    for i, text, text_hash in rows:
+        for k, line in enumerate((text or "").split("\n")):
+            w = [x for x in re.split("[\x20\x09\x0b-\x0d]+", line.lower()) if x]
+            own = {tuple(w[j : j + width]) for j in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+            placed.append(((i is None, str(type(i)), i or 0, text_hash, k), own))
+    gone = set()
+    for rank, own in placed:
+        if own and any(x < rank and 100 * len(own & y) >= percent * len(own | y) for x, y in placed if y):
+            gone.add(rank)
+    return sorted(((i is None, str(i)), text and "\n".join(x for k, x in enumerate(text.split("\n")) if (i is None, str(type(i)), i or 0, h, k) not in gone) or "") for i, text, h in rows)
+
+
+@pytest.mark.parametrize("kind, often", [("long", 32), ("string", 32), ("long", 1)])
+def test_line_dedup(spark, monkeypatch, kind, often):
+    """All awkward rows: null and repeated ids with other texts, repeated rows, string ids, short and empty lines."""
+    monkeypatch.setattr(lines, "OFTEN", often)
+    more = [(100, "And ornd.\n\n  \nOf, edti oner.\nAnd ornd."), (101, " and  ORND.\nof,\na b c d e\na b c d"), (102, "And ornd\nOf, edti oner.\na b c d\nOF,\n\na b c d e"), (7, "unrelated words that nobody else has\nAnd ornd."), (None, "And ornd.\nanother row without an id")]
+    more += [(200 + i, " ".join(f"w{j}" if j != i % 3 else f"v{i}" for j in range(60))) for i in range(40)] + [(300, "\tW0  W1 w2 w3 w4\x0bw5 w6\r"), (301, "w0 w1 w2 w3 w4 w5 w6")]
+    table = awkward(spark, kind=kind).select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))).cache()
+    found = lines.dedup_lines(table, 80, 5)
+    assert found.columns == table.columns
+    want = plain_line_dedup([tuple(r) for r in table.select("doc_id", "text", F.xxhash64("text")).collect()])
+    assert sorted(((r.doc_id is None, str(r.doc_id)), r.text or "") for r in found.collect()) == want
+    assert found.where("text is null").count() == table.where("text is null").count()
+    assert lines.dedup_lines(empty(table)).count() == 0
+
+
+def test_line_dedup_sql(spark, docs):
+    unique = docs.where("doc_id < 60").dropDuplicates(["doc_id"])  # the SQL joins by id
+    found = lines.dedup_lines(unique, 80, 5)
+    assert found.columns == unique.columns
+    same(found.select("doc_id", "text"), lines.line_dedup_sql(80, 5), documents=unique)
 
 
 def test_search(docs, monkeypatch):

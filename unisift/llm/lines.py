@@ -1,22 +1,27 @@
 """Operator 9: near-duplicate line removal by an exact set-similarity join, in DataFrame operations only.
 
 A line's tokens are its distinct shingles of `width` lower-cased words (words are separated by ASCII white
-space). Two lines match when 100 * intersection >= percent * union of their token sets. Lines have a rank, by
-document id (null last), then line number. A line is removed if a line of smaller rank matches it, whether that
-line is itself removed or not; lines of equal rank (repeated rows) don't remove one another. Lines with fewer
-than `width` words have no shingle: they are kept and match nothing, unless `short_lines` is set. Then a line of 1 to
-width - 1 words has one token, its whole word sequence, so it goes if an equal line has a smaller rank.
-
-1. Equal lines (after lower-casing and joining words by one space) form a class, represented by its first
-   line; copies of any number meet in a map-side aggregate.
-2. Tokens are ordered by rarity: frequent ones come last, by exact counts (see `_ordered_prefixes`), and all by hash
-   otherwise. The order decides speed only: any fixed order gives the same result.
-3. Prefix filter: a class with n tokens is indexed by its first n - ceil(percent * n / 100) + 1 tokens; matching
-   classes share one of these, early in the smaller one. Candidates pass the length filter and the positional filter (the most tokens
-   they can still share, by the place of the common token).
-4. Candidates meet in two rounds: first each class with the earliest class of each of its index entries; classes
-   that match are settled, since one earlier match is enough. The rest meet all earlier classes of the entry.
-5. Verification intersects whole token sets.
+space); a line of 1 to width - 1 words has one token, its whole word sequence. Two lines match when
+100 * intersection >= percent * union of their token sets. Lines have a rank, by document id (null last), text hash,
+then line number. A line is removed if a line of smaller rank matches it, whether that line is itself removed or not; lines
+of equal rank (rows repeated with id and text) don't remove one another. Lines without a word are kept.
+
+1. One pass over the texts makes a narrow table: place, a 128-bit hash of the words, and the prefix (see 3) of every line. Texts are read again only for candidates, and to cut lines out.
+2. Equal lines form a class, represented by its first line; copies of any number meet in a map-side aggregate.
+3. Prefix filter: tokens have a global order, by the hash of their first word, then by their own. With at most N tokens, a
+   line's prefix is all tokens whose first word is among its N - ceil(percent * N / 100) + 1 least ones, so it holds at
+   least the prefix that the exact number asks for, and the other tokens needn't be computed. Matching classes share
+   a token of their prefixes, early in the smaller one. A prefix is indexed where another class shares the token: tokens
+   are counted by an aggregate and joined back, so that a token in a third of all lines isn't gathered in one task.
+4. Rarity: where prefixes hold tokens of more than OFTEN classes, all tokens of these classes are counted, frequent ones
+   are put last in the order, and the classes get new prefixes. The order decides speed only.
+5. Candidates meet in two rounds: first each class with the earliest class of each of its index entries; classes
+   that match are settled, since one earlier match is enough. The rest meet all earlier classes of the entry. The length
+   filter and the positional filter (the most tokens they can still share, by the place of the common token) are part of
+   the join's condition.
+6. Verification intersects whole token sets.
+
+Each intermediate table is deleted after its last read.
 
 Nulls: a null text has no lines; a null id ranks last; an empty table gives an empty result; long lines and texts
 are whole. Other columns aren't read by `removed_lines`; `dedup_lines` passes them on unchanged.
@@ -24,138 +29,175 @@ are whole. Other columns aren't read by `removed_lines`; `dedup_lines` passes th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stage import written
+from .stage import discard, written
 
 #: Tokens in more classes than this are frequent.
 OFTEN = 32
-
+#: A token's number: the upper bits of its first word's hash, then the lower bits of its own.
+_UPPER, _LOWER = -(1 << 40), (1 << 40) - 1
 
 # Generators are outer ones on purpose: for inner ones Spark infers a filter on the size of the array and pushes it below
-# the projections, where it computes all of the array again, word splitting within the lambda and all.
+# the projections, where it computes all of the array again. For the same reason words come out of a generator: a filter
+# on them can't be pushed below it. And a column that a lambda reads is referred to twice at least: a projection that
+# is read once is merged into its reader, where a lambda would compute it for each element.
 
 
-def _normal(line: Column) -> Column:
-    """Words in lower case joined by one space. Lines with other white space, or more of it, take a slower way."""
-    has = lambda x: F.contains(line, F.lit(x))
+def _line_texts(text: Column) -> Column:
+    """Array of a text's lines in lower case, with spaces for other white space."""
+    lower = F.lower(text)
+    has = lambda x: F.contains(text, F.lit(x))
     other = has("\t") | has("\r") | has("\x0b") | has("\x0c")
-    loose = has("  ") | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
-    words = F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
-    return F.lower(F.when(other | loose, F.array_join(words, " ")).otherwise(line))
+    return F.split(F.when(other, F.translate(lower, "\t\x0b\x0c\r", "    ")).otherwise(lower), "\n")
+
+
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
+
+
+def _numbers(words: str, hashes: str, places: Column, width: int) -> Column:
+    """Sorted distinct numbers of the tokens that begin at some places."""
+    number = lambda i: F.get(hashes, i).bitwiseAND(F.lit(_UPPER)).bitwiseOR(F.xxhash64(*(F.get(words, i + k) for k in range(width))).bitwiseAND(F.lit(_LOWER)))
+    return F.sort_array(F.array_distinct(F.transform(places, number)))
+
+
+def _hashes(words: str) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _least(n: Column, percent: int) -> Column:
+    """Length of the prefix of n tokens."""
+    return (n - F.ceil(n * percent / 100) + 1).cast("int")
 
 
-def _worded(width: int) -> Column:
-    """Whether `normal` has at least `width` words."""
-    return F.length("normal") - F.length(F.replace("normal", F.lit(" "))) >= width - 1
+def _lines(documents: DataFrame, percent: int, width: int, id_column: str, text_column: str) -> DataFrame:
+    """doc_id, text_hash, line_no, k1, k2 of the lines with a word; prefix of those with a shingle."""
+    docs = documents.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("text"))
+    lines = docs.select("doc_id", "text_hash", F.posexplode_outer(F.transform(_line_texts(F.col("text")), _words)).alias("line_no", "words")).where(F.size("words") > 0)
+    place = ["doc_id", "text_hash", "line_no"]
+    keyed = lines.select(*place, F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(width), "words").alias("k2"), F.when(F.size("words") >= width, F.col("words")).alias("words"))
+    place += ["k1", "k2"]
+    most = F.when(F.col("words").isNotNull(), F.size("words") - (width - 1))
+    hashed = keyed.select(*place, most.alias("n"), "words", _hashes("words").alias("hashes"))
+    firsts = hashed.select(*place, "n", "words", "hashes", F.sort_array(F.array_distinct(F.slice("hashes", 1, F.col("n")))).alias("firsts"))
+    bounded = firsts.select(*place, "n", "words", "hashes", F.get("firsts", F.least(_least(F.col("n"), percent), F.size("firsts")) - 1).alias("bound"))
+    within = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("hashes", i) <= F.col("bound"))
+    early = bounded.select(*place, "words", "hashes", F.when(F.col("bound").isNotNull(), within).alias("early"))
+    return early.select(*place, _numbers("words", "hashes", F.col("early"), width).alias("prefix"))
 
 
-def _lines(documents: DataFrame, width: int, id_column: str, text_column: str, short_lines: bool) -> DataFrame:
-    """doc_id, line_no, normal of the lines with at least `width` words; short_lines: of all with a word."""
+def _token_sets(documents: DataFrame, wanted: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
+    """cid, crowded, tokens, n of wanted classes (cid, crowded, first); repeated rows give a class's set once each."""
+    by_doc = wanted.groupBy(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash")).agg(F.collect_list(F.struct("cid", "crowded", "first.line_no")).alias("wanted"))
     docs = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    lines = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
-    # a cheap test on the line itself first: one space fewer than words at least, whatever the white space is
-    worded = lines.where(F.length("line") >= (1 if short_lines else 2 * width - 1)).select("doc_id", "line_no", _normal(F.col("line")).alias("normal"))
-    return worded.where(F.col("normal") != "" if short_lines else _worded(width))
+    here = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash"))
+    # the generator makes lines a column of their own, or they'd be split again for each wanted one
+    found = docs.join(by_doc.hint("shuffle_hash"), here).select("wanted", F.explode_outer(F.array(_line_texts(F.col("text")))).alias("lines"))
+    rows = found.select(F.explode_outer(F.transform("wanted", lambda x: F.struct(x["cid"].alias("cid"), x["crowded"].alias("crowded"), _words(F.get("lines", x["line_no"])).alias("words")))).alias("x"))
+    hashed = rows.select("x.cid", "x.crowded", "x.words").select("cid", "crowded", "words", _hashes("words").alias("hashes"))
+    return hashed.select("cid", "crowded", _numbers("words", "hashes", F.sequence(F.lit(0), F.size("hashes") - width), width).alias("tokens")).withColumn("n", F.size("tokens"))
 
 
-def _with_tokens(rows: DataFrame, width: int, name: str, *keep: str) -> DataFrame:
-    """The kept columns and the shingle hashes of `normal` as array `name`, step by step so that none is computed twice."""
-    worded = rows.select(*keep, F.transform(F.split("normal", " "), lambda w: F.xxhash64(w)).alias("words"))
-    return worded.select(*keep, F.transform(F.sequence(F.lit(0), F.size("words") - width), lambda i: F.xxhash64(*(F.get("words", i + k) for k in range(width)))).alias(name))
+def _shared(index: DataFrame) -> DataFrame:
+    """Index rows (cid, pos, t) whose token another class has too, with the number of classes df and the earliest one, the hub."""
+    counts = index.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("cid").alias("hub")).where("df > 1")
+    return index.join(counts.hint("shuffle_hash"), "t")
 
 
-def _ordered_prefixes(tokens: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """cid, n, pos, t of class prefixes with frequent tokens last, and the token sets of all classes among them.
+def _reordered(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The index with new prefixes for classes whose prefix has a frequent token.
 
-    tokens: cid, tokens (sorted by hash). Prefixes by hash come first; classes without a token in common with another
-    prefix are done. The frequent tokens of the others' prefixes (in more than OFTEN classes) tell which classes need
-    more: of these, all tokens are counted, and every class with a frequent token in its prefix gets a new one. A class
-    without keeps its own, since skipping frequent tokens doesn't change it.
+    A class without one keeps its prefix, since skipping frequent tokens doesn't change it.
     """
-    n = F.size("tokens")
-    length = (n - F.ceil(n * percent / 100) + 1).cast("int")
-    index = tokens.select("cid", n.alias("n"), F.posexplode_outer(F.slice("tokens", 1, length)).alias("pos", "t"))
-    index = written(index.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("t"))).where("df > 1"), "line-prefixes")
-    sets = written(tokens.join(index.select("cid").distinct(), "cid", "left_semi"), "line-tokens")
-    crowded = index.where(F.col("df") > OFTEN).select("cid").distinct()
-    if not crowded.take(1):
-        return index.drop("df"), sets
-    every = sets.join(crowded, "cid", "left_semi").select(F.explode_outer("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    hot = written(index.where(F.col("df") > OFTEN).select("t").unionByName(every.where(F.col("df") > OFTEN).select("t")).distinct(), "line-frequent")
-    again = written(index.join(hot, "t", "left_semi").select("cid").distinct(), "line-crowded")
-    spread = sets.join(again, "cid", "left_semi").select("cid", n.alias("n"), F.explode_outer("tokens").alias("t")).join(hot.withColumn("hot", F.lit(True)), "t", "left")
-    spread = spread.groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("hot", F.lit(False)).alias("hot"), "t"))).alias("order"))
-    first = F.slice("order", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    renewed = spread.select("cid", "n", F.posexplode_outer(first).alias("pos", "x")).select("cid", "n", "pos", "x.t")
-    return index.drop("df").join(again, "cid", "left_anti").unionByName(renewed), sets
-
-
-def removed_lines(documents: DataFrame, percent: int = 80, width: int = 5, id_column: str = "doc_id", text_column: str = "text", short_lines: bool = False) -> DataFrame:
-    """Lines to remove: doc_id, line_no (from 0, of the text split at \\n)."""
-    lines = _lines(documents, width, id_column, text_column, short_lines)
-    key = [F.xxhash64("normal").alias("k1"), F.xxhash64(F.lit(width), "normal").alias("k2")]
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no").alias("rank")
-
-    classes = lines.select(*key, rank, "normal").groupBy("k1", "k2").agg(F.min("rank").alias("rank"), F.min("normal").alias("normal"), F.count(F.lit(1)).alias("times"))
-    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "line-classes")
-    # a short line's one token is in its own class only
-    shingled = classes.where(_worded(width)) if short_lines else classes
-    tokens = _with_tokens(shingled, width, "ts", "cid").select("cid", F.sort_array(F.array_distinct("ts")).alias("tokens"))
-    index, known = _ordered_prefixes(tokens, percent)
-    by_token = Window.partitionBy("t")
-    index = index.withColumn("df", F.count(F.lit(1)).over(by_token)).where("df > 1")
-    index = index.join(classes.select("cid", "rank"), "cid")
-    index = index.withColumn("hub", F.min(F.struct("rank", "cid", "n", "pos")).over(by_token))
-    index = written(index.select("t", "cid", "rank", "n", "pos", "hub"), "line-index")
-
-    def plausible(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
-        least, most = F.least(na, nb), F.greatest(na, nb)
-        bound = F.least(pa, pb) + F.least(na - pa, nb - pb)  # tokens before, and from the common one on
+    counted = sets.where("crowded").select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    hot = written(counted.where(F.col("df") > OFTEN).select("t"), "line-frequent")
+    again = written(index.join(hot, "t", "left_semi").select("cid").distinct(), "line-again")
+    spread = sets.join(again, "cid", "left_semi").select("cid", "n", F.explode("tokens").alias("t")).join(hot.withColumn("hot", F.lit(True)), "t", "left")
+    spread = spread.groupBy("cid", "n").agg(F.array_sort(F.collect_set(F.struct(F.coalesce("hot", F.lit(False)).alias("hot"), "t"))).alias("order"))
+    renewed = spread.select("cid", F.posexplode(F.slice("order", 1, _least(F.col("n"), percent))).alias("pos", "x")).select("cid", "pos", "x.t")
+    kept = index.join(again, "cid", "left_anti").select("cid", "pos", "t")
+    both = written(kept.unionByName(renewed), "line-reordered")
+    out = written(_shared(both), "line-shared")
+    discard(hot, again, both)
+    return out
+
+
+def _fate(documents: DataFrame, lines: DataFrame, percent: int, width: int, id_column: str, text_column: str) -> DataFrame:
+    """k1, k2, first, gone of the classes with a line to remove: the class's first line is gone too, or stays."""
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "line_no")
+    classes = lines.groupBy("k1", "k2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("times"), F.first("prefix").alias("prefix"))
+    # numbers follow the rank, so the earlier of two classes is the one of smaller number
+    classes = written(classes.repartitionByRange("first").sortWithinPartitions("first").withColumn("cid", F.monotonically_increasing_id()), "line-classes")
+
+    index = written(_shared(classes.select("cid", F.posexplode("prefix").alias("pos", "t"))), "line-shared")
+    some = index.groupBy("cid").agg((F.max("df") > OFTEN).alias("crowded"))
+    sets = written(_token_sets(documents, classes.select("cid", "first").join(some, "cid"), width, id_column, text_column), "line-tokens")
+    if sets.where("crowded").take(1):
+        reordered = _reordered(index, sets, percent)
+        discard(index)
+        index = reordered
+    placed = written(index.drop("df").join(sets.select("cid", "n").distinct(), "cid"), "line-index")
+    discard(index)
+
+    def plausible(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
+        """Whether classes can match, going by their numbers of tokens and a common token's places."""
+        least, most = F.least(n_a, n_b), F.greatest(n_a, n_b)
+        bound = F.least(pos_a, pos_b) + F.least(n_a - pos_a, n_b - pos_b)  # tokens before, and from the common one on
         # the smaller set of a match has a common token in a still shorter prefix
         brief = lambda n: n - F.ceil(2 * percent * n / (100 + percent)) + 1
-        early = F.when(na <= nb, pa < brief(na)).otherwise(pb < brief(nb))
-        return early & (100 * least >= percent * most) & ((100 + percent) * bound >= percent * (na + nb))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Classes b of the pairs (a, b) that match."""
-        sets = known.select("cid", F.col("tokens").alias("set"))
-        both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
+        early = F.when(n_a <= n_b, pos_a < brief(n_a)).otherwise(pos_b < brief(n_b))
+        return early & (100 * least >= percent * most) & ((100 + percent) * bound >= percent * (n_a + n_b))
+
+    def verified(met: DataFrame) -> DataFrame:
+        """Classes b of the meetings (a, n_a, pos_a, b, n_b, pos_b) that match."""
+        fits = plausible(*(F.col(c) for c in ("n_a", "pos_a", "n_b", "pos_b")))
+        pairs = met.where(fits).groupBy("a", "b").agg(*(F.min(c).alias(c) for c in ("n_a", "pos_a", "n_b", "pos_b")))
+        # nothing is common before the first common token of both
+        rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+        pairs = pairs.where((100 + percent) * rest >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+        both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("set_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("set_b")), "b")
         common = F.size(F.array_intersect("set_a", "set_b"))
         return both.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select(F.col("b").alias("cid")).distinct()
 
-    def candidates(met: DataFrame) -> DataFrame:
-        """Pairs a, b of meetings (a, na, pa, b, nb, pb): nothing is common before the first common token of both."""
-        pairs = met.where(plausible(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))).groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
-        return pairs.where((100 + percent) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    def side(x: str, rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select("t", F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("pos").alias(f"pos_{x}"), *more)
 
-    first = index.where(F.col("cid") != F.col("hub.cid")).select(F.col("hub.cid").alias("a"), F.col("hub.n").alias("na"), F.col("hub.pos").alias("pa"), F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    first_pairs = written(candidates(first), "line-pairs")
-    settled = written(verified(first_pairs), "line-settled")
-
-    later = index.join(settled, "cid", "left_anti").select("t", F.col("cid").alias("b"), F.col("rank").alias("rank_b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("hub.cid").alias("hub"))
-    earlier = index.select("t", F.col("cid").alias("a"), F.col("rank").alias("rank_a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    met = later.join(earlier, "t").where("a != hub and rank_a < rank_b")
-    second = verified(written(candidates(met), "line-pairs"))
+    first = side("b", placed.where("cid != hub")).join(side("a", placed.where("cid = hub")), "t")
+    settled = written(verified(first), "line-settled")
+    later = side("b", placed.join(settled, "cid", "left_anti"), "hub")
+    met = later.join(side("a", placed), "t").where((F.col("a") != F.col("hub")) & (F.col("a") < F.col("b")))
+    second = written(verified(met), "line-matched")
+    discard(placed, sets)
 
     matched = settled.unionByName(second)
     # lines of matched classes go, as do the later lines of any other class
-    fate = classes.select("cid", "k1", "k2", "rank", "times").join(matched.withColumn("gone", F.lit(True)), "cid", "left").where("gone or times > 1")
-    fate = written(fate.select("k1", "k2", F.col("rank").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")), "line-fate")
-    placed = lines.select(*key, rank)
-    return placed.join(fate, ["k1", "k2"]).where("gone or rank > first").select("rank.doc_id", "rank.line_no")
+    fate = classes.select("cid", "k1", "k2", "first", "times").join(matched.withColumn("gone", F.lit(True)), "cid", "left").where("gone or times > 1")
+    fate = written(fate.select("k1", "k2", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "line-fate")
+    discard(settled, second, classes)
+    return fate
 
 
-def dedup_lines(documents: DataFrame, percent: int = 80, width: int = 5, id_column: str = "doc_id", text_column: str = "text", short_lines: bool = False) -> DataFrame:
-    """The documents with all their columns, and texts without the removed lines.
+def _removed(documents: DataFrame, percent: int, width: int, id_column: str, text_column: str) -> DataFrame:
+    """doc_id, text_hash, line_no of the lines to remove."""
+    lines = written(_lines(documents, percent, width, id_column, text_column), "lines")
+    fate = _fate(documents, lines, percent, width, id_column, text_column)
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "line_no")
+    return lines.select("k1", "k2", rank.alias("rank")).join(fate, ["k1", "k2"]).where("gone or rank > first").select("rank.doc_id", "rank.text_hash", "rank.line_no")
 
-    Documents are joined by id: rows that share an id have lines of equal rank, which go together.
-    """
-    gone = removed_lines(documents, percent, width, id_column, text_column, short_lines).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    gone = gone.withColumnRenamed("doc_id", "id")
+
+def removed_lines(documents: DataFrame, percent: int = 80, width: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Lines to remove: doc_id, line_no (from 0, of the text split at \\n)."""
+    return _removed(documents, percent, width, id_column, text_column).select("doc_id", "line_no")
+
+
+def dedup_lines(documents: DataFrame, percent: int = 80, width: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents with all their columns, and texts without the removed lines. Documents are told by id and text."""
+    gone = _removed(documents, percent, width, id_column, text_column).groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.collect_set("line_no").alias("gone"))
     rows = documents.select(F.struct("*").alias("row"))
-    joined = rows.join(gone.hint("shuffle_hash"), F.col("row")[id_column].eqNullSafe(F.col("id")), "left")
+    here = F.col("row")[id_column].eqNullSafe(F.col("id")) & (F.xxhash64(F.col("row")[text_column]) == F.col("hash"))
+    joined = rows.join(gone.hint("shuffle_hash"), here, "left")
     # lines are a column of their own, or each step of the lambda would split the text again
     parted = joined.select("row", "gone", F.when(F.col("gone").isNotNull(), F.split(F.col("row")[text_column], "\n")).alias("lines"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
@@ -168,11 +210,11 @@ def line_dedup_sql(percent: int, width: int) -> str:
     return f"""
 WITH lines AS (SELECT doc_id, line, line_no - 1 AS line_no FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)),
 worded AS (SELECT *, list_filter(string_split(translate(lower(line), chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda w: w <> '') AS words FROM lines),
-classes AS (SELECT array_to_string(words, ' ') AS normal, any_value(words) AS words, min((doc_id IS NULL, doc_id, line_no)) AS rank FROM worded WHERE len(words) >= {width} GROUP BY 1),
-tokens AS (SELECT normal, rank, unnest(list_distinct(list_transform(range(1, len(words) - {width - 2}), lambda i: array_to_string(words[i:i + {width - 1}], ' ')))) AS t FROM classes),
+classes AS (SELECT array_to_string(words, ' ') AS normal, any_value(words) AS words, min((doc_id IS NULL, doc_id, line_no)) AS rank FROM worded WHERE len(words) > 0 GROUP BY 1),
+tokens AS (SELECT normal, rank, unnest(list_distinct(list_transform(range(1, greatest(2, len(words) - {width - 2})), lambda i: array_to_string(words[i:i + {width - 1}], ' ')))) AS t FROM classes),
 sizes AS (SELECT normal, count(*) AS n FROM tokens GROUP BY 1),
 common AS (SELECT a.normal AS a, b.normal AS b, count(*) AS c FROM tokens a JOIN tokens b ON a.t = b.t AND a.rank < b.rank GROUP BY 1, 2),
 matched AS (SELECT DISTINCT b FROM common JOIN sizes x ON x.normal = a JOIN sizes y ON y.normal = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
 kept AS (SELECT w.doc_id, w.line, w.line_no FROM worded w LEFT JOIN classes k ON k.normal = array_to_string(w.words, ' ')
-         WHERE len(w.words) < {width} OR NOT ((w.doc_id IS NULL, w.doc_id, w.line_no) > k.rank OR k.normal IN (SELECT b FROM matched)))
+         WHERE len(w.words) = 0 OR NOT ((w.doc_id IS NULL, w.doc_id, w.line_no) > k.rank OR k.normal IN (SELECT b FROM matched)))
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce((SELECT string_agg(line, chr(10) ORDER BY line_no) FROM kept WHERE kept.doc_id = d.doc_id), '') END AS text FROM documents d"""
