@@ -28,8 +28,8 @@ def plain_lines(rows):
     for r in sorted(rows, key=lambda r: r["doc_id"]):
         kept = []
         for line in r["text"].split("\n"):
-            s = shingles(line) if len(line.split()) >= 5 else None
-            if s is None or not any(alike(s, x) for x in seen):
+            s = shingles(line)
+            if not s or not any(alike(s, x) for x in seen):
                 kept.append(line)
             if s:
                 seen.append(s)

@@ -95,8 +95,8 @@ def _token_sets(documents: DataFrame, wanted: DataFrame, width: int, id_column:
     here = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash"))
     # the generator makes lines a column of their own, or they'd be split again for each wanted one
     found = docs.join(by_doc.hint("shuffle_hash"), here).select("wanted", F.explode_outer(F.array(_line_texts(F.col("text")))).alias("lines"))
-    rows = found.select(F.explode_outer(F.transform("wanted", lambda x: F.struct(x["cid"].alias("cid"), x["crowded"].alias("crowded"), _words(F.get("lines", x["line_no"])).alias("words")))).alias("x"))
-    hashed = rows.select("x.cid", "x.crowded", "x.words").select("cid", "crowded", "words", _hashes("words").alias("hashes"))
+    rows = found.select(F.inline_outer(F.transform("wanted", lambda x: F.struct(x["cid"].alias("cid"), x["crowded"].alias("crowded"), _words(F.get("lines", x["line_no"])).alias("words")))))
+    hashed = rows.select("cid", "crowded", "words", _hashes("words").alias("hashes"))
     return hashed.select("cid", "crowded", _numbers("words", "hashes", F.sequence(F.lit(0), F.size("hashes") - width), width).alias("tokens")).withColumn("n", F.size("tokens"))
 
 
@@ -124,13 +124,8 @@ def _reordered(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _fate(documents: DataFrame, lines: DataFrame, percent: int, width: int, id_column: str, text_column: str) -> DataFrame:
+def _fate(documents: DataFrame, classes: DataFrame, percent: int, width: int, id_column: str, text_column: str) -> DataFrame:
     """k1, k2, first, gone of the classes with a line to remove: the class's first line is gone too, or stays."""
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "line_no")
-    classes = lines.groupBy("k1", "k2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("times"), F.first("prefix").alias("prefix"))
-    # numbers follow the rank, so the earlier of two classes is the one of smaller number
-    classes = written(classes.repartitionByRange("first").sortWithinPartitions("first").withColumn("cid", F.monotonically_increasing_id()), "line-classes")
-
     index = written(_shared(classes.select("cid", F.posexplode("prefix").alias("pos", "t"))), "line-shared")
     some = index.groupBy("cid").agg((F.max("df") > OFTEN).alias("crowded"))
     sets = written(_token_sets(documents, classes.select("cid", "first").join(some, "cid"), width, id_column, text_column), "line-tokens")
@@ -142,21 +137,13 @@ def _fate(documents: DataFrame, lines: DataFrame, percent: int, width: int, id_c
     discard(index)
 
     def plausible(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
-        """Whether classes can match, going by their numbers of tokens and a common token's places."""
+        """Length filter, and positional filter for the first common token: all that's common begins there."""
         least, most = F.least(n_a, n_b), F.greatest(n_a, n_b)
-        bound = F.least(pos_a, pos_b) + F.least(n_a - pos_a, n_b - pos_b)  # tokens before, and from the common one on
-        # the smaller set of a match has a common token in a still shorter prefix
-        brief = lambda n: n - F.ceil(2 * percent * n / (100 + percent)) + 1
-        early = F.when(n_a <= n_b, pos_a < brief(n_a)).otherwise(pos_b < brief(n_b))
-        return early & (100 * least >= percent * most) & ((100 + percent) * bound >= percent * (n_a + n_b))
+        return (100 * least >= percent * most) & ((100 + percent) * F.least(n_a - pos_a, n_b - pos_b) >= percent * (n_a + n_b))
 
     def verified(met: DataFrame) -> DataFrame:
         """Classes b of the meetings (a, n_a, pos_a, b, n_b, pos_b) that match."""
-        fits = plausible(*(F.col(c) for c in ("n_a", "pos_a", "n_b", "pos_b")))
-        pairs = met.where(fits).groupBy("a", "b").agg(*(F.min(c).alias(c) for c in ("n_a", "pos_a", "n_b", "pos_b")))
-        # nothing is common before the first common token of both
-        rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-        pairs = pairs.where((100 + percent) * rest >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+        pairs = met.where(plausible(*(F.col(c) for c in ("n_a", "pos_a", "n_b", "pos_b")))).select("a", "b").distinct()
         both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("set_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("set_b")), "b")
         common = F.size(F.array_intersect("set_a", "set_b"))
         return both.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select(F.col("b").alias("cid")).distinct()
@@ -182,9 +169,15 @@ def _fate(documents: DataFrame, lines: DataFrame, percent: int, width: int, id_c
 def _removed(documents: DataFrame, percent: int, width: int, id_column: str, text_column: str) -> DataFrame:
     """doc_id, text_hash, line_no of the lines to remove."""
     lines = written(_lines(documents, percent, width, id_column, text_column), "lines")
-    fate = _fate(documents, lines, percent, width, id_column, text_column)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "line_no")
-    return lines.select("k1", "k2", rank.alias("rank")).join(fate, ["k1", "k2"]).where("gone or rank > first").select("rank.doc_id", "rank.text_hash", "rank.line_no")
+    classes = lines.groupBy("k1", "k2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("times"), F.first("prefix").alias("prefix"))
+    # numbers follow the rank, so the earlier of two classes is the one of smaller number
+    classes = written(classes.repartitionByRange("first").sortWithinPartitions("first").withColumn("cid", F.monotonically_increasing_id()), "line-classes")
+    # prefixes, most of the table, have been read for the last time
+    places = written(lines.drop("prefix"), "line-places")
+    discard(lines)
+    fate = _fate(documents, classes, percent, width, id_column, text_column)
+    return places.select("k1", "k2", rank.alias("rank")).join(fate, ["k1", "k2"]).where("gone or rank > first").select("rank.doc_id", "rank.text_hash", "rank.line_no")
 
 
 def removed_lines(documents: DataFrame, percent: int = 80, width: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -43,7 +43,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def delete(spark: SparkSession, paths: list[str]) -> None:
-    for path in paths:
+    for path in list(paths):
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
         if path in _made:
