@@ -17,6 +17,18 @@ LINE = r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+$"
 VARIATION = r"[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]"
 
 
+def _class(ranges: list[tuple[int, int]]) -> str:
+    return "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges) + "]"
+
+
+#: Characters of any class; letters of other scripts than Latin; characters that look like an ASCII letter.
+CLASSIFIED = _class([(lo, hi) for lo, hi, _ in t.CLASS_RANGES])
+FOREIGN = _class([(lo, hi) for lo, hi, label in t.SCRIPT_RANGES if label != "Latin"])
+ALIKE = _class([(cp, cp) for cp in sorted(t.CONFUSABLES) if cp > 0x7F])
+#: Lines with more hits are taken character by character.
+_FEW = 64
+
+
 def _ranges(cp: Column, ranges: list[tuple[int, int, str]], default: Column) -> Column:
     """CASE over labelled ranges; ranges of one label are one branch."""
     labels: dict[str, list[tuple[int, int]]] = {}
@@ -63,6 +75,21 @@ def characters(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c, i: F.struct(i.alias("i"), c.alias("ch"), F.ascii(c).alias("cp")))
 
 
+def hits(text: Column, kind: str) -> Column:
+    """`characters` of one regular expression's class only. A text is cut before each of them, and places are summed over pieces."""
+    pieces = F.split(text, f"(?={kind})")
+    none = F.array().cast("array<struct<i: int, ch: string, cp: int>>")
+
+    def step(acc: Column, piece: Column) -> Column:
+        ch = F.substring(piece, 1, 1)
+        hit = F.struct(acc["at"].alias("i"), ch.alias("ch"), F.ascii(ch).alias("cp"))
+        return F.struct((acc["at"] + F.length(piece)).alias("at"), F.concat(acc["found"], F.array(hit)).alias("found"))
+
+    begun = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("found")), step)["found"]
+    few = F.size(pieces) <= _FEW
+    return F.when(text.rlike(kind), F.filter(F.when(few, begun).otherwise(characters(text)), lambda x: x["ch"].rlike(kind))).otherwise(none)
+
+
 def snippet(text: Column, col: Column, width: int = 40) -> Column:
     """What stands around a column, with dots where it's cut."""
     half = width // 2

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import functools
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -96,6 +95,9 @@ def lexed_lines(files: DataFrame, suspicious: bool = True) -> DataFrame:
     `suspicious`, files of printable ASCII don't reach Python at all, and only lines are returned that have another
     character, or an identifier when the file has one beyond ASCII: all other lines can't have a finding by characters
     or tokens. Files with a null text or path have no lines.
+
+    Files are dealt by path over as many tasks as a shuffle has, since one row group, or a run of large files, would keep
+    one task busy for long.
     """
     rows = files.select(F.col("path").cast("string").alias("path"), chars.language(F.col("path")).alias("lang"), "text").where("text is not null and path is not null")
     if suspicious:
@@ -103,45 +105,62 @@ def lexed_lines(files: DataFrame, suspicious: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("path", "line", "text", "context", "tokens")}
-            size = 0
+            out = _Lines()
             for path, lang, text in zip(*(batch.column(c).to_pylist() for c in ("path", "lang", "text")), strict=True):
-                spans = [m.span() for m in _LINE.finditer(text)]
-                starts = [a for a, _ in spans]
-                tokens: list[list] = [[] for _ in spans]
-                any_wide = False
-                for context, a, b in lex(text, lang):
-                    word = text[a:b]
-                    k = bisect_right(starts, a) - 1
-                    own = tokens[k]
-                    own.append({"i": len(own), "text": word, "context": context, "col": a - starts[k]} | ({} if word.isascii() else forms(word)))
-                    any_wide |= context == "identifier" and not word.isascii()
-                for k, (a, b) in enumerate(spans):
-                    own = tokens[k]
-                    line = text[a:b]
-                    if suspicious and not _SUSPICIOUS.search(line) and not (any_wide and any(w["context"] == "identifier" for w in own)):
-                        continue
-                    out["path"].append(path)
-                    out["line"].append(k + 1)
-                    out["text"].append(line)
-                    out["context"].append(max((w["context"] for w in own), key=_RANK.__getitem__, default="other"))
-                    out["tokens"].append(own)
-                    size += b - a
-                if size > 1 << 20:
-                    yield _batch(out)
-                    out, size = {c: [] for c in out}, 0
-            if out["path"]:
-                yield _batch(out)
-
-    return rows.mapInArrow(run, TOKEN_LINES)
-
-
-_TOKENS = pa.list_(pa.struct([("i", pa.int32()), ("text", pa.string()), ("context", pa.string()), ("col", pa.int32()), ("nfc", pa.string()), ("nfkc", pa.string()), ("skeleton", pa.string())]))
-
-
-def _batch(out: dict[str, list]) -> pa.RecordBatch:
-    kinds = {"path": pa.string(), "line": pa.int32(), "text": pa.string(), "context": pa.string(), "tokens": _TOKENS}
-    return pa.RecordBatch.from_arrays([pa.array(out[c], k) for c, k in kinds.items()], list(kinds))
+                found = list(lex(text, lang))
+                wide = suspicious and any(context == "identifier" and not text[a:b].isascii() for context, a, b in found)
+                at = 0
+                for number, m in enumerate(_LINE.finditer(text), 1):
+                    begin, end = m.span()
+                    first = at
+                    while at < len(found) and found[at][1] < end:
+                        at += 1
+                    own = found[first:at]
+                    if not suspicious or _SUSPICIOUS.search(text, begin, end) or (wide and any(w[0] == "identifier" for w in own)):
+                        out.add(path, number, text, begin, end, own)
+                if out.size > 1 << 20:
+                    yield out.batch()
+                    out = _Lines()
+            if out.path:
+                yield out.batch()
+
+    deal = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(deal, "path").mapInArrow(run, TOKEN_LINES)
+
+
+_TOKEN_FIELDS = [pa.field(name, kind) for name, kind in (("i", pa.int32()), ("text", pa.string()), ("context", pa.string()), ("col", pa.int32()), ("nfc", pa.string()), ("nfkc", pa.string()), ("skeleton", pa.string()))]
+
+
+class _Lines:
+    """Lines and their tokens, column by column."""
+
+    def __init__(self) -> None:
+        self.path, self.line, self.text, self.context, self.ends = [], [], [], [], [0]
+        self.tokens: dict[str, list] = {f.name: [] for f in _TOKEN_FIELDS}
+        self.size = 0
+
+    def add(self, path: str, line: int, text: str, begin: int, end: int, own: list[tuple[str, int, int]]) -> None:
+        self.path.append(path)
+        self.line.append(line)
+        self.text.append(text[begin:end])
+        self.context.append(max((w[0] for w in own), key=_RANK.__getitem__, default="other"))
+        cols = self.tokens
+        for i, (context, a, b) in enumerate(own):
+            word = text[a:b]
+            cols["i"].append(i)
+            cols["text"].append(word)
+            cols["context"].append(context)
+            cols["col"].append(a - begin)
+            more = {} if word.isascii() else forms(word)
+            for name in ("nfc", "nfkc", "skeleton"):
+                cols[name].append(more.get(name))
+        self.ends.append(len(cols["i"]))
+        self.size += end - begin
+
+    def batch(self) -> pa.RecordBatch:
+        tokens = pa.StructArray.from_arrays([pa.array(self.tokens[f.name], f.type) for f in _TOKEN_FIELDS], fields=_TOKEN_FIELDS)
+        lists = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), tokens)
+        return pa.RecordBatch.from_arrays([pa.array(self.path, pa.string()), pa.array(self.line, pa.int32()), pa.array(self.text, pa.string()), pa.array(self.context, pa.string()), lists], ["path", "line", "text", "context", "tokens"])
 
 
 def tokens(files: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def char_findings(policy: Policy) -> Column:
     text, context = F.col("text"), F.col("context")
     nouns = {k: r.noun for k, r in t.RULES.items() if r.noun}
     kept = F.filter(
-        F.transform(c.characters(text), lambda x: F.struct(x["i"].alias("i"), x["cp"].alias("cp"), F.when(x["cp"] == 0xFEFF, "USC009").otherwise(c.classify(x["cp"])).alias("rule"))),
+        F.transform(c.hits(text, c.CLASSIFIED), lambda x: F.struct(x["i"].alias("i"), x["cp"].alias("cp"), F.when(x["cp"] == 0xFEFF, "USC009").otherwise(c.classify(x["cp"])).alias("rule"))),
         lambda x: x["rule"].isNotNull() & (x["rule"] != "VS")
         & F.when(x["rule"] == "USC009", ~((F.col("line") == 1) & (x["i"] == 0))).otherwise(
             (F.col("is_changed") | x["rule"].isin(*t.ALWAYS)) & ~allowed(F.col("path"), x["cp"], policy) & ~ignored(lookup(x["rule"], {k: t.RULES[k].name for k in nouns}), context, policy)
@@ -104,7 +104,7 @@ def token_findings(policy: Policy) -> Column:
         distinct = F.array_sort(F.array_distinct(F.filter(scripts, lambda s: ~s.isin("Common", "Inherited", "Unknown"))))
         listed = F.array_join(distinct, ", ")
         is_name = context == "identifier"
-        mixed = is_name & (F.size(distinct) > 1) & ~F.lit("mixed-script" in policy.contexts.get("identifier", {}) and policy.contexts["identifier"]["mixed-script"] == "ignore")
+        mixed = is_name & word.rlike(c.FOREIGN) & (F.size(distinct) > 1) & ~F.lit("mixed-script" in policy.contexts.get("identifier", {}) and policy.contexts["identifier"]["mixed-script"] == "ignore")
         out = [F.when(mixed, F.array(_finding("USC003", col, _quoted("Mixed-script identifier '", word, "' (", listed, ")"), _quoted("scripts: ", listed), context, word, F.lit(5), i, F.lit(0))))]
         if policy.identifier_policy == "ascii-only":
             wide = F.get(F.filter(letters, lambda x: x["cp"] > 0x7F), F.lit(0))
@@ -113,7 +113,7 @@ def token_findings(policy: Policy) -> Column:
         elif policy.identifier_policy == "permitted-scripts":
             bad = F.get(F.filter(scripts, lambda s: ~s.isin("Common", "Inherited", *sorted(policy.permitted_scripts))), F.lit(0))
             out.append(F.when(is_name & bad.isNotNull(), F.array(_finding("USC019", col, _quoted("Identifier '", word, "' uses script '", bad, "' not in permitted set"), _quoted("script ", bad), context, word, F.lit(5), i, F.lit(1)))))
-        alike = F.filter(letters, lambda x: (x["cp"] > 0x7F) & (context != "string") & c.confusable(x["cp"]).isNotNull())
+        alike = F.filter(c.hits(word, c.ALIKE), lambda x: context != "string")
         out.append(F.transform(alike, lambda x: _finding("USC017", col + x["i"], _quoted("Homoglyph ", c.char_info(x["cp"]), " looks like '", c.confusable(x["cp"]), "' in ", context), c.char_info(x["cp"]), context, word, F.lit(5), i, F.lit(2))))
         forms = F.concat(F.lit("NFC: '"), w["nfc"], F.when(w["nfkc"] != w["nfc"], F.concat(F.lit("', NFKC: '"), w["nfkc"])).otherwise(""), F.lit("'"))
         out.append(F.when(w["nfc"] != word, F.array(_finding("USC006", col, _quoted("'", word, "' changes under NFC (", forms, ")"), forms, context, word, F.lit(5), i, F.lit(3)))))
