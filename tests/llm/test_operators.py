@@ -327,11 +327,45 @@ def test_line_dedup_sql(spark, docs):
     same(found.select("doc_id", "text"), lines.line_dedup_sql(80, 5), documents=unique)
 
 
-def test_search(docs, monkeypatch):
+@pytest.mark.parametrize("kind", ["long", "string", "date"])
+def test_search(spark, docs, monkeypatch, kind):
     unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).cache()
     monkeypatch.setattr(search, "BLOCK", 4)
     monkeypatch.setattr(search, "SHARD", 4000)
     asked = unique.where("doc_id % 5 = 0").select(F.col("doc_id").alias("query_id"), "text")
-    assert same(search.search(unique, asked, k=3), search.search_sql(3, 5), documents=unique) > 10
-    assert search.search(docs, asked, k=3).count() > 10
-    assert search.search(empty(docs), empty(asked)).count() == 0
+    own = {"long": F.col, "string": lambda c: F.lpad(F.col(c).cast("string"), 4, "0"), "date": lambda c: F.date_add(F.lit("2000-01-01").cast("date"), F.col(c).cast("int"))}[kind]
+    back = {"long": F.col, "string": lambda c: F.col(c).cast("long"), "date": lambda c: F.datediff(F.col(c), F.lit("2000-01-01").cast("date")).cast("long")}[kind]
+    found = search.search(unique.withColumn("doc_id", own("doc_id")), asked.withColumn("query_id", own("query_id")), k=3)
+    assert same(found.withColumn("doc_id", back("doc_id")).withColumn("query_id", back("query_id")), search.search_sql(3, 5), documents=unique) > 10
+    if kind == "long":
+        monkeypatch.setattr(search, "GROUP", 4)
+        assert same(search.search(unique, asked, k=3), search.search_sql(3, 5), documents=unique) > 10
+        assert search.search(docs, asked, k=3).count() > 10
+        assert search.search(empty(docs), empty(asked)).count() == 0 and search.search(docs, empty(asked)).count() == 0
+        assert search.search(docs.withColumn("text", F.lit(None).cast("string")), asked).count() == 0
+
+
+def test_search_reads_fewer_postings():
+    """With the k-th score known, the best documents are found exactly, from a part of the postings."""
+    rng = np.random.default_rng(4)
+    lists = [np.unique(np.minimum(rng.zipf(1.3, 120), 3000)).astype(np.uint64) for _ in range(600)]
+    owner, terms = np.repeat(np.arange(600), [len(x) for x in lists]).astype(np.int32), np.concatenate(lists)
+    tf = rng.integers(1, 4, len(terms)).astype(np.int32)
+    index, row = search.Index.of(owner, terms, tf, np.asarray([len(x) for x in lists]))
+    words, df = np.unique(terms, return_counts=True)
+    again = search.Index.loaded(index.stored())
+    again.prepare(40.0, words, np.log(1 + (600 - df + 0.5) / (df + 0.5)))
+    whole = pruned = 0
+    for q in range(0, 600, 20):
+        asked = np.searchsorted(words, lists[q])
+        full = np.zeros(600)
+        for t in asked:
+            at = slice(again.bounds[t], again.bounds[t + 1])
+            full[again.doc[at]] += again.impact[at]
+            whole += again.bounds[t + 1] - again.bounds[t]
+        least = int(np.sort(full)[-5])
+        again.read = 0
+        found, scores = again.search(asked, least)
+        pruned += again.read
+        assert found.tolist() == np.flatnonzero(full >= least).tolist() and (scores == full[found]).all()
+    assert pruned < 0.75 * whole and sorted(row.tolist()) == list(range(600))
