@@ -338,7 +338,7 @@ def test_search(spark, docs, monkeypatch, kind):
     found = search.search(unique.withColumn("doc_id", own("doc_id")), asked.withColumn("query_id", own("query_id")), k=3)
     assert same(found.withColumn("doc_id", back("doc_id")).withColumn("query_id", back("query_id")), search.search_sql(3, 5), documents=unique) > 10
     if kind == "long":
-        monkeypatch.setattr(search, "GROUP", 4)
+        monkeypatch.setattr(search, "GROUP", 150)
         assert same(search.search(unique, asked, k=3), search.search_sql(3, 5), documents=unique) > 10
         assert search.search(docs, asked, k=3).count() > 10
         assert search.search(empty(docs), empty(asked)).count() == 0 and search.search(docs, empty(asked)).count() == 0
