@@ -308,7 +308,7 @@ def _ranges(documents: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_bytes(documents: DataFrame, length: int = 400, id_column: str = "doc_id", text_column: str = "text", texts: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with `texts` also spans and kept (binary)."""
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, spans (begin, end in bytes); with `texts` also kept (binary)."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     docs = documents.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
@@ -316,7 +316,7 @@ def repeated_bytes(documents: DataFrame, length: int = 400, id_column: str = "do
     kind = docs.schema["doc_id"].dataType.simpleString()
     ranges = _ranges(docs, length).groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
     joined = docs.join(ranges.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left").select("doc_id", "text", "ranges")
-    extra = ", spans array<struct<begin: long, end: long>>, kept binary" if texts else ""
+    extra = ", kept binary" if texts else ""
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches, "text"):
@@ -327,7 +327,7 @@ def repeated_bytes(documents: DataFrame, length: int = 400, id_column: str = "do
             flat = lists.flatten()
             begins, ends = flat.field("begin").to_numpy(), flat.field("end").to_numpy()
             own = np.concatenate([[0], np.cumsum(counts)])
-            removed, spans, digests, merged, kept = [], [], [], [], []
+            removed, spans, digests, lengths, merged, kept = [], [], [], [], [], []
             for i in range(part.num_rows):
                 order = np.argsort(begins[own[i] : own[i + 1]], kind="stable")
                 b, e = begins[own[i] : own[i + 1]][order], ends[own[i] : own[i + 1]][order]
@@ -340,12 +340,16 @@ def repeated_bytes(documents: DataFrame, length: int = 400, id_column: str = "do
                 removed.append(len(text) - len(left))
                 spans.append(len(b))
                 digests.append(hashlib.sha256(left).hexdigest())
+                lengths.append(len(left))
+                merged += [b, e]
                 if texts:
-                    merged.append([{"begin": x, "end": y} for x, y in zip(b.tolist(), e.tolist(), strict=True)])
                     kept.append(left)
             columns = {"doc_id": part.column("doc_id"), "n_bytes": pa.array(np.diff(at)), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+            ends = [np.concatenate([np.zeros(0, np.int64), *merged[i::2]]) for i in (0, 1)]
+            pairs = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in ends], ["begin", "end"])
+            columns |= {"n_kept": pa.array(lengths, pa.int64()), "spans": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(spans)]), pa.int32()), pairs)}
             if texts:
-                columns |= {"spans": pa.array(merged, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(kept, pa.binary())}
+                columns["kept"] = pa.array(kept, pa.binary())
             yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
-    return joined.mapInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{extra}")
+    return joined.mapInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, spans array<struct<begin: long, end: long>>{extra}")
