@@ -61,10 +61,14 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(_documents(spark, sf_dir), percent=90, width=3).select("doc_id", "n_shingles", "component_id")
 
 
+#: Lines and paragraphs, and sentences for passages that were pasted into a line.
+UNIT_KINDS = ("line", "paragraph", "sentence")
+
+
 def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .units import repeated_units
 
-    return repeated_units(_documents(spark, sf_dir), unit="sentence", least_words=5)
+    return repeated_units(_documents(spark, sf_dir), UNIT_KINDS, dict.fromkeys(UNIT_KINDS, 5))
 
 
 def op8_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op2_source_mixing": mix_sql(MIX_WEIGHTS, 7, "n_chars", "doc_id, text, source"),
-    "op6_unit_dedup": repeated_units_sql(5),
+    "op6_unit_dedup": repeated_units_sql(5, UNIT_KINDS),
     "op8_tool_linking": f"SELECT * REPLACE (array_to_string(errors, '; ') AS errors) FROM ({linked_turns_sql()})",
     "op9_line_dedup": line_dedup_sql(80, 5),
     "op10_topk_search": search_sql(10, 20),
