@@ -12,7 +12,8 @@ canonical JSON (sorted keys, no spaces, UTF-8 as it is).
   calls on a cycle have a null wave and status `cycle`. Dependencies on unknown identifiers are ignored. No
   conversation is gathered in one task, however long.
 * Validation: `type`, `required`, `properties`, `additionalProperties`, `items`, `enum`, `minLength`, `maxLength`,
-  `minimum`, `maximum`. Arguments that aren't JSON, and names without a schema, are errors too.
+  `minimum`, `maximum`. Arguments that aren't JSON (NaN, infinities and numbers beyond a double's range
+  aren't), and names without a schema, are errors too; such arguments are kept as text.
 
 Nulls give `null` in the JSON and fail the schema if it asks for a value. Repeated calls each get their row. Empty
 tables give empty results. Extra columns aren't read.
@@ -86,7 +87,18 @@ def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
 
 
 def canonical(value: Any) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Raises ValueError for numbers that JSON has no form for."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def parsed(text: str) -> Any:
+    """The value of JSON. NaN, infinities, numbers beyond a double's range, and what nests too deep aren't accepted."""
+    try:
+        value = json.loads(text)
+        canonical(value)
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+    return value
 
 
 def _waves(calls: DataFrame) -> DataFrame:
@@ -139,7 +151,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
                 arguments = None
                 if row["status"] != "missing_call":
                     try:
-                        arguments = json.loads(row["arguments"] or "null")
+                        arguments = parsed(row["arguments"] or "null")
                         wrong = violations(arguments, schemas[row["name"]]) if row["name"] in schemas else ["name: no schema"]
                     except ValueError:
                         wrong, arguments = ["arguments: not JSON"], row["arguments"]
