@@ -119,7 +119,27 @@ def test_repeated_bytes(docs, rows, monkeypatch, wide, steps, piece):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         want.append((i, len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
     key = lambda r: (r[0] is None, str(r))
-    assert sorted(map(tuple, substrings.repeated_bytes(docs, 64).collect()), key=key) == sorted(want, key=key)
+    found = substrings.repeated_bytes(docs, 64)
+    assert sorted((tuple(r)[:5] for r in found.collect()), key=key) == sorted(want, key=key)
+    assert all(r.n_kept == r.n_bytes - r.n_removed and r.n_spans == len(r.spans) and r.n_removed == sum(s.end - s.begin for s in r.spans) for r in found.collect())
+
+
+def test_repeated_bytes_at_full_length(spark):
+    """The query's length on a driver's table, against counting every window."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: (r.text or "").encode() for r in table.collect()}
+    seen = collections.Counter(hash(t[k : k + 400]) for t in texts.values() for k in range(len(t) - 399))
+    found = {r.doc_id: r for r in substrings.repeated_bytes(table, 400, texts=True).collect()}
+    assert found.keys() == texts.keys() and any(r.n_removed for r in found.values())
+    for i, t in texts.items():
+        mark = np.zeros(len(t) + 1, int)
+        for k in range(len(t) - 399):
+            if seen[hash(t[k : k + 400])] > 1:
+                mark[k] += 1
+                mark[k + 400] -= 1
+        gone = np.cumsum(mark)[: len(t)] > 0
+        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        assert bytes(found[i].kept) == kept and found[i].kept_sha256 == hashlib.sha256(kept).hexdigest() and found[i].n_removed == gone.sum()
 
 
 def test_repeated_bytes_of_nothing(docs):
@@ -179,15 +199,34 @@ def test_components(spark):
 def test_units(docs):
     unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).cache()  # the SQL tells rows by id
     assert same(units.repeated_units(unique), units.repeated_units_sql(5), documents=unique) > 5
-    left = {(r.doc_id, r.text) for r in units.dedup_units(docs).collect()}
-    spans = collections.defaultdict(set)
-    for r in units.repeated_units(docs).collect():
-        spans[r.doc_id].add((r.start, r.start + r.length))
-    for r in docs.collect():
-        text = r.text
-        for a, b in sorted(spans.get(r.doc_id, ()), reverse=True):
-            text = text and text[:a] + text[b:]
-        assert (r.doc_id, text) in left
+    kinds = ("line", "paragraph", "sentence")
+    assert same(units.repeated_units(unique, kinds, dict.fromkeys(kinds, 5)), units.repeated_units_sql(5, kinds), documents=unique) > 10
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_dedup_units(spark, kind):
+    """All awkward rows: null and repeated ids with other texts, repeated rows, string ids."""
+    more = [(7, "Nobody else has written this sentence. Again and again it is. end"), (None, "A row without id has this. Another of its own sentences here."), (7, None)]
+    table = awkward(spark, kind=kind).select("doc_id", "text", "kept").unionByName(spark.createDataFrame(more, "doc_id long, text string").select(F.col("doc_id").cast(kind), "text", F.lit("k").alias("kept"))).cache()
+    rows = [(r.doc_id, r.text or "", r.hash) for r in table.select("doc_id", "text", F.xxhash64("text").alias("hash")).collect()]
+    first, found = {}, []
+    for i, t, h in rows:
+        for m in re.finditer(r"[^\n.!?]+[.!?]*", t):
+            normal = re.sub("[\x20\x09-\x0D]+", " ", m[0].translate(LOWER)).strip("\x20\x09\x0a\x0b\x0c\x0d.!?")
+            if normal.count(" ") >= 4:
+                rank = (i is None, i or 0 if kind == "long" else i or "", h, m.start())
+                first[normal] = min(first.get(normal, rank), rank)
+                found.append((i, h, m.span(), normal, rank))
+    want = []
+    for i, t, h in rows:
+        for a, b in sorted({span for j, g, span, normal, rank in found if (j, g) == (i, h) and rank > first[normal]}, reverse=True):
+            t = t[:a] + t[b:]
+        want.append((str(i), t))
+    got = units.dedup_units(table)
+    assert got.columns == table.columns and sorted((str(r.doc_id), r.text or "") for r in got.collect()) == sorted(want)
+
+
+def test_units_of_nothing(docs):
     for unit in ("line", "paragraph"):
         assert units.repeated_units(docs, unit).count() > 0
     assert units.repeated_units(empty(docs)).count() == 0
@@ -257,6 +296,12 @@ def test_quality_has_a_reference_for_every_language(spark, monkeypatch, sent):
     assert sorted(r.doc_id for r in quality.keep_documents(table).collect()) == sorted(r[0] for r in rows + bare + thin)
 
 
+def test_quality_of_null_texts(docs):
+    nothing = docs.withColumn("text", F.lit(None).cast("string"))
+    assert quality.judge(nothing).where("base_failed and not kept").count() == docs.count() and quality.keep_documents(nothing).count() == 0
+    assert quality.judge(docs.withColumn("lang", F.lit(None).cast("string"))).count() == docs.count()
+
+
 def test_divergence():
     p = np.array([[1.0, 0.0], [0.5, 0.5]])
     assert quality.distance(p, np.array([0.0, 1.0]))[0] == 1 and quality.distance(p, np.array([0.5, 0.5]))[1] == 0
@@ -281,6 +326,9 @@ def test_linking_order_and_schemas(spark):
     assert found["c"].json == '{"arguments":{"n":1},"id":"c","name":"f","result":"first"}' and found["c"].valid and found["c"].n_results == 2
     assert found["a"].errors == ["$.n: too large", "$.tags[1]: not one of the values"] and found["b"].errors == ["arguments: not JSON"]
     assert found["y"].errors == ["$.m: unknown", "$.n: not integer"] and found["x"].errors == ["name: no schema"] and found["orphan"].status == "missing_call"
+    odd = spark.createDataFrame([(1, i, str(i), "f", x, None) for i, x in enumerate(['{"n": NaN}', "[1e400]", "-Infinity", "[" * 100000, "[1]"])], made.schema)
+    odd = {r.call_id: r for r in chat.link_calls(odd, results, {"f": schema}).collect()}
+    assert [odd[str(i)].errors for i in range(5)] == [["arguments: not JSON"]] * 4 + [["$: not object"]] and '"arguments":"[1e400]"' in odd["1"].json
     assert found["z"].wave == found["z0"].wave == 0 and found["z0"].errors == ["$.n: not integer"]
 
 
