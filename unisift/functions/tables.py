@@ -62,56 +62,38 @@ ALWAYS = ("USC001", "USC011", "USC012")
 EMBED_OPEN, EMBED_CLOSE = (0x202A, 0x202B, 0x202D, 0x202E), 0x202C
 ISOLATE_OPEN, ISOLATE_CLOSE = (0x2066, 0x2067, 0x2068), 0x2069
 
-# Blocks of scripts (first, last in hexadecimal).
-_SCRIPTS = """
-Latin 41-5A 61-7A C0-D6 D8-F6 F8-2AF 1D00-1DBF 1E00-1EFF 2C60-2C7F A720-A7FF AB30-AB6F FB00-FB06
-Greek 370-377 37A-37F 384-38A 38C-38C 38E-3A1 3A3-3FF 1F00-1FFF
-Cyrillic 400-52F 2DE0-2DFF A640-A69F
-Armenian 530-58F FB13-FB17
-Hebrew 590-5FF FB1D-FB4F
-Arabic 600-6FF 750-77F 870-8FF FB50-FDFF FE70-FEFF
-Syriac 700-74F
-Thaana 780-7BF
-Devanagari 900-97F A8E0-A8FF
-Bengali 980-9FF
-Gurmukhi A00-A7F
-Gujarati A80-AFF
-Oriya B00-B7F
-Tamil B80-BFF
-Telugu C00-C7F
-Kannada C80-CFF
-Malayalam D00-D7F
-Sinhala D80-DFF
-Thai E00-E7F
-Lao E80-EFF
-Tibetan F00-FFF
-Myanmar 1000-109F
-Georgian 10A0-10FF 2D00-2D2F
-Hangul 1100-11FF 3130-318F AC00-D7AF
-Ethiopic 1200-139F 2D80-2DDF
-Cherokee 13A0-13FF AB70-ABBF
-Canadian_Aboriginal 1400-167F
-Khmer 1780-17FF 19E0-19FF
-Hiragana 3040-309F
-Katakana 30A0-30FF 31F0-31FF
-Han 3400-4DBF 4E00-9FFF F900-FAFF 20000-2A6DF
-"""
-SCRIPT_RANGES: list[tuple[int, int, str]] = sorted(
-    (int(lo, 16), int(hi, 16), line.split()[0]) for line in _SCRIPTS.strip().splitlines() for lo, hi in (r.split("-") for r in line.split()[1:])
-)
-
-# Confusable characters (hexadecimal) and the ASCII letter that they look like.
-_CONFUSABLE = """
-0251>a 0261>g 026A>i 0391>A 0392>B 0395>E 0396>Z 0397>H 0399>I 039A>K 039C>M 039D>N 039F>O 03A1>P 03A4>T 03A5>Y 03A7>X
-03B1>a 03B2>B 03B5>e 03B7>n 03B9>i 03BA>k 03BD>v 03BF>o 03C1>p 03C4>t 03C5>u 03C7>x 03C9>w 0401>E 0405>S 0406>I 0408>J
-040C>K 0410>A 0412>B 0415>E 041A>K 041C>M 041D>H 041E>O 0420>P 0421>C 0422>T 0423>Y 0425>X 042C>b 0430>a 0435>e 043E>o
-0440>p 0441>c 0443>y 0445>x 044C>b 0455>s 0456>i 0458>j 04AE>Y 04AF>y 04BA>h 04BB>h 04C0>I 054C>L 054D>S 0555>O 0566>q
-0570>h 0578>n 057C>n 057D>s 0585>o 13A0>D 13A1>R 13A2>T 13A9>Y 13AA>A 13AB>J 13AC>E 13B1>G 13B3>W 13B7>M 13BB>H 13BE>S
-13C0>P 13C2>Z 13C3>B 13CB>V 13CF>K 13D2>L 13DA>C 1D00>a 2126>O 212A>K 212B>A 2160>I 2164>V 2169>X 216C>L 216D>C 216E>D
-216F>M
-"""
+# Blocks of scripts (first, last, script), by code point.
+SCRIPT_RANGES: list[tuple[int, int, str]] = [
+    (0x0041, 0x005A, "Latin"), (0x0061, 0x007A, "Latin"), (0x00C0, 0x00D6, "Latin"), (0x00D8, 0x00F6, "Latin"), (0x00F8, 0x02AF, "Latin"),
+    (0x0370, 0x0377, "Greek"), (0x037A, 0x037F, "Greek"), (0x0384, 0x038A, "Greek"), (0x038C, 0x038C, "Greek"), (0x038E, 0x03A1, "Greek"),
+    (0x03A3, 0x03FF, "Greek"), (0x0400, 0x052F, "Cyrillic"), (0x0530, 0x058F, "Armenian"), (0x0590, 0x05FF, "Hebrew"), (0x0600, 0x06FF, "Arabic"),
+    (0x0700, 0x074F, "Syriac"), (0x0750, 0x077F, "Arabic"), (0x0780, 0x07BF, "Thaana"), (0x0870, 0x08FF, "Arabic"), (0x0900, 0x097F, "Devanagari"),
+    (0x0980, 0x09FF, "Bengali"), (0x0A00, 0x0A7F, "Gurmukhi"), (0x0A80, 0x0AFF, "Gujarati"), (0x0B00, 0x0B7F, "Oriya"), (0x0B80, 0x0BFF, "Tamil"),
+    (0x0C00, 0x0C7F, "Telugu"), (0x0C80, 0x0CFF, "Kannada"), (0x0D00, 0x0D7F, "Malayalam"), (0x0D80, 0x0DFF, "Sinhala"), (0x0E00, 0x0E7F, "Thai"),
+    (0x0E80, 0x0EFF, "Lao"), (0x0F00, 0x0FFF, "Tibetan"), (0x1000, 0x109F, "Myanmar"), (0x10A0, 0x10FF, "Georgian"), (0x1100, 0x11FF, "Hangul"),
+    (0x1200, 0x139F, "Ethiopic"), (0x13A0, 0x13FF, "Cherokee"), (0x1400, 0x167F, "Canadian_Aboriginal"), (0x1780, 0x17FF, "Khmer"),
+    (0x19E0, 0x19FF, "Khmer"), (0x1D00, 0x1DBF, "Latin"), (0x1E00, 0x1EFF, "Latin"), (0x1F00, 0x1FFF, "Greek"), (0x2C60, 0x2C7F, "Latin"),
+    (0x2D00, 0x2D2F, "Georgian"), (0x2D80, 0x2DDF, "Ethiopic"), (0x2DE0, 0x2DFF, "Cyrillic"), (0x3040, 0x309F, "Hiragana"),
+    (0x30A0, 0x30FF, "Katakana"), (0x3130, 0x318F, "Hangul"), (0x31F0, 0x31FF, "Katakana"), (0x3400, 0x4DBF, "Han"), (0x4E00, 0x9FFF, "Han"),
+    (0xA640, 0xA69F, "Cyrillic"), (0xA720, 0xA7FF, "Latin"), (0xA8E0, 0xA8FF, "Devanagari"), (0xAB30, 0xAB6F, "Latin"), (0xAB70, 0xABBF, "Cherokee"),
+    (0xAC00, 0xD7AF, "Hangul"), (0xF900, 0xFAFF, "Han"), (0xFB00, 0xFB06, "Latin"), (0xFB13, 0xFB17, "Armenian"), (0xFB1D, 0xFB4F, "Hebrew"),
+    (0xFB50, 0xFDFF, "Arabic"), (0xFE70, 0xFEFF, "Arabic"), (0x20000, 0x2A6DF, "Han"),
+]
+
+# Confusable characters and the ASCII letter that they look like, by code point.
+CONFUSABLES: dict[int, str] = {
+    0x0251: "a", 0x0261: "g", 0x026A: "i", 0x0391: "A", 0x0392: "B", 0x0395: "E", 0x0396: "Z", 0x0397: "H", 0x0399: "I", 0x039A: "K", 0x039C: "M",
+    0x039D: "N", 0x039F: "O", 0x03A1: "P", 0x03A4: "T", 0x03A5: "Y", 0x03A7: "X", 0x03B1: "a", 0x03B2: "B", 0x03B5: "e", 0x03B7: "n", 0x03B9: "i",
+    0x03BA: "k", 0x03BD: "v", 0x03BF: "o", 0x03C1: "p", 0x03C4: "t", 0x03C5: "u", 0x03C7: "x", 0x03C9: "w", 0x0401: "E", 0x0405: "S", 0x0406: "I",
+    0x0408: "J", 0x040C: "K", 0x0410: "A", 0x0412: "B", 0x0415: "E", 0x041A: "K", 0x041C: "M", 0x041D: "H", 0x041E: "O", 0x0420: "P", 0x0421: "C",
+    0x0422: "T", 0x0423: "Y", 0x0425: "X", 0x042C: "b", 0x0430: "a", 0x0435: "e", 0x043E: "o", 0x0440: "p", 0x0441: "c", 0x0443: "y", 0x0445: "x",
+    0x044C: "b", 0x0455: "s", 0x0456: "i", 0x0458: "j", 0x04AE: "Y", 0x04AF: "y", 0x04BA: "h", 0x04BB: "h", 0x04C0: "I", 0x054C: "L", 0x054D: "S",
+    0x0555: "O", 0x0566: "q", 0x0570: "h", 0x0578: "n", 0x057C: "n", 0x057D: "s", 0x0585: "o", 0x13A0: "D", 0x13A1: "R", 0x13A2: "T", 0x13A9: "Y",
+    0x13AA: "A", 0x13AB: "J", 0x13AC: "E", 0x13B1: "G", 0x13B3: "W", 0x13B7: "M", 0x13BB: "H", 0x13BE: "S", 0x13C0: "P", 0x13C2: "Z", 0x13C3: "B",
+    0x13CB: "V", 0x13CF: "K", 0x13D2: "L", 0x13DA: "C", 0x1D00: "a", 0x2126: "O", 0x212A: "K", 0x212B: "A", 0x2160: "I", 0x2164: "V", 0x2169: "X",
+    0x216C: "L", 0x216D: "C", 0x216E: "D", 0x216F: "M",
+}
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-CONFUSABLES: dict[int, str] = {int(a, 16): b for a, b in (x.split(">") for x in _CONFUSABLE.split())}
 #: By rule: bold and italic mathematical letters (one italic letter has no code point there), and full-width ones.
 CONFUSABLES |= {0x1D400 + i: c for i, c in enumerate(_LETTERS)}
 CONFUSABLES |= {0x1D434 + i: c for i, c in enumerate(_LETTERS) if 0x1D434 + i != 0x1D455}
@@ -129,39 +111,13 @@ CHAR_NAMES |= {cp: unicodedata.name(chr(cp)) for cp in sorted({*_NAMED, *(c for
 NAMED_CHARACTERS = {"ZWJ": 0x200D, "ZWNJ": 0x200C, "NBSP": 0xA0, "SOFT_HYPHEN": 0xAD, "BOM": 0xFEFF}
 
 # Languages by file extension and by file name.
-_EXTENSIONS = """
-python py pyw pyi
-javascript js mjs cjs jsx
-typescript ts tsx
-go go
-rust rs
-java java
-kotlin kt
-scala scala
-c c h
-cpp cpp hpp cc
-csharp cs
-ruby rb
-php php
-shell sh bash zsh
-perl pl pm
-r r
-swift swift
-lua lua
-yaml yml yaml
-toml toml
-markdown md
-rst rst
-html html htm
-css css
-scss scss
-sql sql
-zig zig
-nim nim
-json json
-xml xml
-"""
-LANGUAGE_BY_EXTENSION = {x: line.split()[0] for line in _EXTENSIONS.strip().splitlines() for x in line.split()[1:]}
+LANGUAGE_BY_EXTENSION: dict[str, str] = {
+    "py": "python", "pyw": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript",
+    "ts": "typescript", "tsx": "typescript", "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "scala": "scala", "c": "c", "h": "c",
+    "cpp": "cpp", "hpp": "cpp", "cc": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "sh": "shell", "bash": "shell", "zsh": "shell", "pl": "perl",
+    "pm": "perl", "r": "r", "swift": "swift", "lua": "lua", "yml": "yaml", "yaml": "yaml", "toml": "toml", "md": "markdown", "rst": "rst",
+    "html": "html", "htm": "html", "css": "css", "scss": "scss", "sql": "sql", "zig": "zig", "nim": "nim", "json": "json", "xml": "xml",
+}
 LANGUAGE_BY_NAME = {"Dockerfile": "dockerfile", "Makefile": "makefile", "Gemfile": "ruby", "Rakefile": "ruby", "Vagrantfile": "ruby"}
 
 # Which lexical forms languages have.

@@ -177,6 +177,27 @@ def q_bidi_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def _line_rule(rule_id: str) -> Callable[[SparkSession, str], DataFrame]:
+    def one(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = rules.exploded(_lines(spark, sf_dir), rules.line_findings(), Policy())
+        return found.where(F.col("rule_id") == rule_id).select("file", "line", "col", "severity", "message", "char_info", "snippet")
+
+    one.__name__ = f"r{rule_id[-2:]}_{t.RULES[rule_id].name.replace('-', '_')}"
+    return one
+
+
+_VS = "len(regexp_extract_all(text, '[\\x{FE00}-\\x{FE0F}\\x{E0100}-\\x{E01EF}]'))"
+query(
+    f"""WITH {fx.files_sql()}, {_LINES} SELECT path AS file, line, 0 AS col, 'critical' AS severity, {_VS} || ' variation selectors on one line' AS message, {_VS} || ' variation selectors' AS char_info, substr(text, 1, 80) AS snippet
+    FROM lines WHERE {_VS} >= 3"""
+)(_line_rule("USC010"))
+query(
+    f"""WITH {fx.files_sql()}, {_LINES}, {_CHARS}, unpaired AS (SELECT 'embedding/override' AS kind, 'embed' AS word, path, line, unclosed, orphans FROM {_depths_sql(t.EMBED_OPEN, t.EMBED_CLOSE)} UNION ALL SELECT 'isolate', 'isolate', path, line, unclosed, orphans FROM {_depths_sql(t.ISOLATE_OPEN, t.ISOLATE_CLOSE)})
+    SELECT path AS file, line, 0 AS col, 'critical' AS severity, 'Unbalanced bidi ' || kind || ' controls (unclosed: ' || unclosed::INTEGER || ', orphan closers: ' || orphans::INTEGER || ')' AS message, word || ' imbalance: ' || (unclosed + orphans)::INTEGER AS char_info, substr(text, 1, 80) AS snippet
+    FROM unpaired JOIN lines USING (path, line) WHERE unclosed + orphans > 0"""
+)(_line_rule("USC015"))
+
+
 _ENDS = "len(regexp_extract_all(text, '\\r\\n'))"
 _LF, _CR = f"length(text) - length(replace(text, chr(10), '')) > {_ENDS}", f"length(text) - length(replace(text, chr(13), '')) > {_ENDS}"
 _KINDS = f"concat_ws(', ', CASE WHEN {_ENDS} > 0 THEN 'CRLF' END, CASE WHEN {_LF} THEN 'LF' END, CASE WHEN {_CR} THEN 'CR' END)"
