@@ -280,10 +280,12 @@ def judge(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 def keep_documents(documents: DataFrame, text_column: str = "text", lang_column: str = "lang", **limits) -> DataFrame:
     """The documents that `judge` keeps, with all their columns, which pass through unread. Only documents of light languages are shuffled."""
-    rows = documents.select(F.struct("*").alias("row"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"))
+    names = documents.columns
+    own = ["text" if c == text_column else f"c{i}" for i, c in enumerate(names)]  # no name clashes, and no text is sent twice
+    rows = documents.toDF(*own).withColumn("lang", F.col(own[names.index(lang_column)]).cast("string"))
 
     def emit(part: pa.RecordBatch, found: dict[str, pa.Array]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([part.column("row").filter(found["kept"])], ["row"])
+        return pa.RecordBatch.from_arrays([part.column(c).filter(found["kept"]) for c in own], own)
 
-    schema = T.StructType([T.StructField("row", documents.schema)])
-    return _judged(rows, references(documents, lang_column, text_column), emit, schema, limits).select("row.*")
+    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(own, documents.schema, strict=True)])
+    return _judged(rows, references(documents, lang_column, text_column), emit, schema, limits).toDF(*names)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +65,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             end = max(begin + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: workers are used again, and stay as large as their largest task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def words(data: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
