@@ -430,3 +430,49 @@ def q_scan_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat_ws("/", F.lit("chat"), F.col("conv_id").cast("string"), F.concat(F.col("turn").cast("string"), F.lit(".md"))).alias("path"), "text")
     return scan(pages.unionByName(turns)).drop("seq")
+
+
+# --- whole findings of plain text files, where SQL knows every token's context ---------------------------------------------
+
+_NOUNS = {k: r.noun for k, r in t.RULES.items() if r.noun}
+_TOLD = f"""contexts AS (SELECT path, line, CASE WHEN bool_or(context = 'identifier') THEN 'identifier' ELSE 'string' END AS context FROM tokens GROUP BY path, line),
+told AS (SELECT rule_id, file, found.line AS line, col, char_info, snippet, CASE rule_id WHEN 'USC009' THEN 'other' ELSE coalesce(context, 'other') END AS context,
+         CASE rule_id WHEN 'USC009' THEN 'Misplaced byte-order mark' ELSE {_map('rule_id', _NOUNS)} || ' ' || char_info || ' in ' || coalesce(context, 'other') END AS message FROM found LEFT JOIN contexts ON file = contexts.path AND found.line = contexts.line)"""
+_WITH_TOLD = f"{_WITH_TOKENS}, {_CHARS}, {_CLASSED}, {_CHAR_FINDINGS}, {_TOLD}"
+_TOLD_REPORTED = f"{_WITH_TOLD}, reported AS (SELECT *, {_severity_sql(Policy())} AS severity, {_map('rule_id', {k: r.name for k, r in t.RULES.items()})} AS rule_name FROM told)"
+
+
+def _plain_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.exploded(_lines(spark, sf_dir, True), rules.char_findings(Policy()), Policy())
+
+
+@query(f"{_WITH_TOLD} SELECT rule_id, file, line, col, context, message, char_info, snippet FROM told")
+def q_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole findings on characters with message and context."""
+    return _plain_findings(spark, sf_dir).select("rule_id", "file", "line", "col", "context", "message", "char_info", "snippet")
+
+
+@query(
+    f"""{_TOLD_REPORTED} SELECT '  ' || upper(severity) || ' [' || rule_id || ' ' || rule_name || '] ' || file || ':' || line || ':' || col || chr(10) || '    ' || char_info || chr(10) || '    ' || message
+    || CASE WHEN snippet <> '' THEN chr(10) || '    near: "' || {_SHOWN} || '"' ELSE '' END AS rendered,
+    '::' || CASE WHEN severity IN ('critical', 'high') THEN 'error' ELSE 'warning' END || ' file=' || file || ',line=' || line || ',col=' || (col + 1) || ',title=Unicode Safety [' || rule_name || ']::' || char_info || ' -- ' || message AS annotation FROM reported"""
+)
+def q_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as the terminal and the annotations show them."""
+    return _plain_findings(spark, sf_dir).select(report.rendered().alias("rendered"), report.annotation().alias("annotation"))
+
+
+_PLAIN_RULES = {"USC003": "q_mixed_script", "USC019": "q_non_ascii_ident", "USC017": "q_homoglyph", "USC006": "q_normalization", "USC004": "q_confusable", "USC010": "r10_variation_selector", "USC015": "r15_bidi_pairing"}
+_PLAIN_SCAN = " UNION ALL ".join(
+    [
+        f"SELECT rule_id, file, line, col, char_info, snippet FROM ({_WITH_TOLD} SELECT * FROM told)",
+        *(f"SELECT '{rule}', file, line, col, char_info, snippet FROM ({ORACLE[name].replace(fx.files_sql(), fx.files_sql(True))})" for rule, name in _PLAIN_RULES.items()),
+        f"SELECT 'USC018', file, 1, 0, char_info, '' FROM ({ORACLE['q_line_endings'].replace(fx.files_sql(), fx.files_sql(True))})",
+    ]
+)
+
+
+@query(_PLAIN_SCAN)
+def q_scan_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole scan of all documents as plain text files, with every rule of the default policy."""
+    return scan(fx.files(spark, sf_dir, True)).select("rule_id", "file", "line", "col", "char_info", "snippet")
