@@ -409,7 +409,11 @@ def q_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(field("$.ruleId").alias("ruleId"), field("$.level").alias("level"), field("$.locations[0].physicalLocation.artifactLocation.uri").alias("uri"), field(f"{region}.startLine").cast("int").alias("start_line"), field(f"{region}.startColumn").cast("int").alias("start_column"))
 
 
-@query()
+@query(
+    f"""WITH {fx.files_sql()}, cuts AS (SELECT path, left(text, (doc_id % 50)::INTEGER) AS p FROM files)
+    SELECT 'USC008' AS rule_id, path AS file, (length(p) - length(replace(p, chr(10), '')) + 1)::INTEGER AS line, length(regexp_extract(p, '[^\\n]*$'))::INTEGER AS col,
+           'Not valid UTF-8: byte ' || strlen(p) || ': invalid utf-8 sequence of 1 bytes from index ' || strlen(p) AS message FROM cuts"""
+)
 def q_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as bytes, with a byte that isn't UTF-8 put in at a place of its own."""
     docs = fx.files(spark, sf_dir)
@@ -462,6 +466,16 @@ def q_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_findings(spark, sf_dir).select(report.rendered().alias("rendered"), report.annotation().alias("annotation"))
 
 
+@query(
+    f"""{_TOLD_REPORTED} SELECT '| ' || severity || ' | ' || rule_id || ' ' || rule_name || ' | `' || file || '` | ' || line || ' | ' || replace(left(message, 80), '|', '\\|') || ' |' AS row,
+    '{{"ruleId":"' || rule_id || '","level":"' || CASE severity WHEN 'low' THEN 'note' WHEN 'medium' THEN 'warning' ELSE 'error' END || '","message":{{"text":"' || char_info || ' -- ' || message || '"}},"locations":[{{"physicalLocation":'
+    || '{{"artifactLocation":{{"uri":"' || file || '","uriBaseId":"%SRCROOT%"}},"region":{{"startLine":' || line || ',"startColumn":' || (col + 1) || '}}}}}}]}}' AS sarif FROM reported"""
+)
+def q_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as rows of the Markdown table and as SARIF results."""
+    return _plain_findings(spark, sf_dir).select(report.table_row().alias("row"), report.sarif_result().alias("sarif"))
+
+
 _PLAIN_RULES = {"USC003": "q_mixed_script", "USC019": "q_non_ascii_ident", "USC017": "q_homoglyph", "USC006": "q_normalization", "USC004": "q_confusable", "USC010": "r10_variation_selector", "USC015": "r15_bidi_pairing"}
 _PLAIN_SCAN = " UNION ALL ".join(
     [
