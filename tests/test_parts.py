@@ -137,6 +137,36 @@ def test_hidden_files(spark, tmp_path):
     assert {r.file for r in out.findings.collect()} == {f"{tmp_path}/pkg/__init__.py", f"{tmp_path}/.env"} and out.files_scanned == 2
 
 
+def test_command(spark, tmp_path, monkeypatch, capsys):
+    from unisift.__main__ import main, options
+
+    (tmp_path / "app/[id]").mkdir(parents=True)
+    (tmp_path / "app/[id]/page.tsx").write_text("let a" + chr(0x202E) + " = 1\n")
+    (tmp_path / "clean.py").write_text("a = 1\n")
+    deep = tmp_path / "/".join("d" * 64)
+    deep.mkdir(parents=True)
+    (deep / "far.py").write_text("x" + chr(0x200B))
+    (deep.parent / "near.py").write_text("x" + chr(0x200B))
+    monkeypatch.chdir(tmp_path)
+    for name in ("GITHUB_STEP_SUMMARY", "GITHUB_OUTPUT"):
+        monkeypatch.setenv(name, str(tmp_path / f"{name}.log"))
+    assert main(["--all", "--exclude", "d/*", "--sarif-file", str(tmp_path / "out.sarif")]) == 1
+    said = capsys.readouterr().out
+    assert "app/[id]/page.tsx:1:5" in said and "::error file=app/[id]/page.tsx,line=1,col=6" in said and "SARIF report written to" in said
+    assert "| Critical | 2 |" in (tmp_path / "GITHUB_STEP_SUMMARY.log").read_text() and "findings=3" in (tmp_path / "GITHUB_OUTPUT.log").read_text()
+    assert main(["--no-annotations", "clean.py"]) == 0 and "::" not in capsys.readouterr().out
+    assert (tmp_path / "GITHUB_OUTPUT.log").read_text().count("files_scanned=") == 2
+    # a walk stops at the depth limit, a named file is read anyway
+    assert {r.file for r in engine.run(spark, engine.Options(scan_all=True), str(tmp_path / "d")).findings.collect()} >= {str((deep.parent / "near.py").relative_to(tmp_path / "d"))}
+    assert not any(r.file.endswith("far.py") for r in engine.run(spark, engine.Options(scan_all=True)).findings.collect())
+    assert any(r.file.endswith("far.py") for r in engine.run(spark, engine.Options(files=[str(deep / "far.py")])).findings.collect())
+    monkeypatch.setenv("INPUT_FAIL_ON_WARN", "TRUE")
+    chosen, colour = options(["a.py", "--no-color"])
+    assert chosen.files == ["a.py"] and chosen.fail_on_warn and not colour
+    with pytest.raises(SystemExit):
+        options(["--all", "--file-list", "x"])
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.py").write_text("x" + chr(0x200B) + " = 1\n")

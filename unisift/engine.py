@@ -55,6 +55,13 @@ class Outcome:
     def outputs(self) -> str:
         return report.outputs(self.findings, self.files_scanned, self.options.sarif_file)
 
+    def append_reports(self, env: Mapping[str, str] = os.environ) -> None:
+        """Append the Markdown summary and the outputs to the files that a workflow's environment names, if it does."""
+        for name, text in (("GITHUB_STEP_SUMMARY", self.step_summary), ("GITHUB_OUTPUT", self.outputs)):
+            if path := env.get(name):
+                with open(path, "a", encoding="utf-8") as out:
+                    out.write(text())
+
     def annotations(self) -> DataFrame:
         found = self.findings.orderBy(*report.ORDER).select(report.annotation().alias("annotation"))
         return found.limit(0) if self.options.disable_annotations else found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import re
 import subprocess
@@ -17,6 +18,9 @@ from ..functions import tables as t
 from .policy import glob_regex
 
 
+log = logging.getLogger(__name__)
+
+
 def excluded(path: Column, globs: list[str] | tuple[str, ...] = ()) -> Column:
     """Paths that a scan leaves out: with an excluded directory's name and a slash anywhere, of an excluded suffix, or matched by a glob."""
     slashed = F.replace(path, F.lit("\\"), F.lit("/"))
@@ -31,15 +35,21 @@ def is_binary(content: Column) -> Column:
 
 
 def scannable(files: DataFrame, globs: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """Files (path, length, content) that a scan reads: not excluded, not too large, not too deep, not binary, in this order."""
-    listed = files.where(~excluded(F.col("path"), globs)).where(F.col("length") <= t.MOST_BYTES).where(F.size(F.split("path", "/")) <= t.MOST_DEPTH)
+    """Files (path, length, content) that a scan reads: not excluded, not too large, not binary, in this order."""
+    listed = files.where(~excluded(F.col("path"), globs)).where(F.col("length") <= t.MOST_BYTES)
     return listed.where(~is_binary(F.col("content")))
 
 
 def _walk(root: str) -> Iterator[str]:
-    """Paths (relative) of the files below a local directory but those in excluded directories, whatever their names begin with."""
+    """Paths (relative) of the files below a local directory but those in excluded directories, whatever their names begin with.
+
+    Linked folders aren't entered, and folders from the MOST_DEPTH-th level on neither.
+    """
     for folder, folders, names in os.walk(root):
         folders[:] = [d for d in folders if d not in t.EXCLUDED_DIRECTORIES]
+        if folders and folder != root and os.path.relpath(folder, root).count(os.sep) + 2 >= t.MOST_DEPTH:
+            log.warning("folders below %s are too deep and are left out", folder)
+            folders[:] = []
         for name in names:
             full = os.path.join(folder, name)
             if os.path.isfile(full) and not any("\ud800" <= c <= "\udfff" for c in full):
@@ -79,7 +89,7 @@ def files_from_directory(spark: SparkSession, root: str) -> DataFrame:
         return _read_local(spark, [(os.path.join(local, p), p) for p in _walk(local)])
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://")[-1]
-    return read.select(F.regexp_replace("path", rf"^[a-z]*:?/*{re.escape(base.lstrip('/'))}/", "").alias("path"), "length", "content")
+    return read.select(F.regexp_replace("path", rf"^[a-z]*:?/*{re.escape(base.lstrip('/'))}/", "").alias("path"), "length", "content").where(F.size(F.split("path", "/")) <= t.MOST_DEPTH)
 
 
 def files_from_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -125,11 +135,15 @@ def changed_from_diff(rows: DataFrame) -> DataFrame:
 def changed_from_git(spark: SparkSession, base: str, folder: str = ".") -> DataFrame | None:
     """Changed lines between a commit and HEAD; None (scan everything) if the id isn't hexadecimal or git fails."""
     if not re.fullmatch(r"[0-9A-Fa-f]+", base):
+        log.warning("not a commit id, all lines are scanned: %s", base)
         return None
     try:
         run = subprocess.run(["git", "diff", "-U0", "--diff-filter=AMR", base, "HEAD"], cwd=folder, capture_output=True, check=True)
-    except (OSError, subprocess.CalledProcessError):
+    except (OSError, subprocess.CalledProcessError) as e:
+        log.warning("git diff failed, all lines are scanned: %s", e)
         return None
+    if len(run.stdout) > t.MOST_BYTES:
+        log.warning("the diff is longer than %d bytes and is cut", t.MOST_BYTES)
     text = run.stdout[: t.MOST_BYTES].decode("utf-8", "replace")
     rows = spark.createDataFrame([(0, i, line) for i, line in enumerate(text.split("\n"))], "diff_id int, line_no int, text string")
     return changed_from_diff(rows)
