@@ -55,31 +55,32 @@ def test_tokenizer_paths_agree(text, monkeypatch):
 
 
 def test_packing(docs, rows):
+    """Every id lies in exactly one piece, with its document's check sum; windows are full, gapless and not over capacity."""
     pieces = packing.pack(docs, tokenizer_path(), capacity=256, grain=64, block=16).collect()
-    whole = library()
-    want = collections.Counter()
-    for i, t in rows:
-        ids = [*whole.encode(t, add_special_tokens=False).ids, 0]
-        for r in {(p.start, p.length, p.ids_crc32) for p in pieces if p.doc_id == i and p.doc_tokens == len(ids)}:
-            part = np.asarray(ids[r[0] : r[0] + r[1]], "<u4").tobytes()
-            want[zlib.crc32(part) == r[2]] += 1
-    assert want[True] > len(rows) // 2
-    by, total = collections.defaultdict(list), 0
+    streams = collections.Counter((i, tuple([*ids_of(t), 0])) for i, t in rows)
+    by = collections.defaultdict(list)
     for p in pieces:
         by[p.sequence_id].append((p.offset, p.length))
-        total += p.length
-    assert total == sum(len(whole.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
     for parts in by.values():
         at = 0
         for offset, n in sorted(parts):
-            assert offset == at
+            assert offset == at and n > 0
             at += n
         assert at <= 256
-    assert total / (256 * len(by)) > 0.8
-    covered = collections.Counter()
-    for p in pieces:
-        covered[p.doc_id, p.doc_tokens] += p.length
-    assert all(n % k == 0 for (_, k), n in covered.items())
+    total = sum(len(ids) * n for (_, ids), n in streams.items())
+    assert sum(p.length for p in pieces) == total and total / (256 * len(by)) > 0.8
+    assert set(p.doc_id for p in pieces) == {i for i, _ in streams}
+    left = collections.Counter((p.doc_id, p.doc_tokens, p.start, p.length, p.ids_crc32) for p in pieces)
+    for (i, ids), times in streams.items():
+        data = np.asarray(ids, "<u4")
+        for _ in range(times):
+            at = 0
+            while at < len(ids):  # a piece that begins here and is of this document; repeated and null ids have several
+                fit = next(k for k, n in left.items() if n and k[:3] == (i, len(ids), at) and zlib.crc32(data[at : at + k[3]].tobytes()) == k[4])
+                left[fit] -= 1
+                at += fit[3]
+            assert at == len(ids)
+    assert not +left
     assert packing.pack(empty(docs), tokenizer_path()).count() == 0
 
 

@@ -150,7 +150,7 @@ class Encoder:
                     out[i] += len(self.fast(piece))
                     continue
                 batch.append((i, piece))
-                size += len(piece)
+                size += len(piece) if piece.isascii() else len(piece.encode("utf-8", "surrogatepass"))
                 if size >= BATCH_BYTES:
                     flush()
                     size = 0
