@@ -5,11 +5,11 @@ Jensen-Shannon distance (square root of the divergence, base 2, so from 0 to 1):
 
 * character classes: lower case, upper case, digits, ASCII white space, common punctuation, symbols,
   and letters or other characters beyond ASCII, by bytes of the text;
-* common words: the `COMMON` heaviest of `BINS` hash bins of the language's lower-cased words, and one class
-  for all other words.
+* common words: the `COMMON` most frequent lower-cased words of the language (by 64-bit hash, ties by hash), and one
+  class for all other words.
 
-A reference is the sum over all documents of the language, made in a first pass: a fixed-size row per
-language (bins, not words), summed map-side, then by key. Every language has its own, however many there are:
+A reference is the sum over all documents of the language, made in a first pass: words are counted in the tasks, then by
+key, and a language's `COMMON` first ones found by partial ranking before they meet. It has a fixed size. Every language has its own, however many there are:
 those of the `LANGUAGES` languages with the most words are sent to every task; documents of any other language are
 joined with theirs. So what is sent at once has a fixed size bound, whatever the corpus.
 
@@ -33,15 +33,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
 from .stage import written
 
-BINS = 4096
 COMMON = 64
+#: Words that a task counts at once before it passes the counts on.
+_HELD = 1 << 20
 LANGUAGES = 256
 LEAST_WORDS = 2000
 CLASSES = 7
@@ -62,16 +63,18 @@ def _per_doc(owner: np.ndarray, what: np.ndarray, docs: int, kinds: int) -> np.n
 
 
 def _histograms(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class counts per row; row and bin of each word."""
+    """Class counts per row; row and hash of each word."""
     rows = len(at) - 1
     classes = _per_doc(np.repeat(np.arange(rows), np.diff(at)), _CLASS[data].astype(np.int64), rows, CLASSES)
     *_, hashes, owner = tx.row_words(at, data, True)
-    return classes, owner, (hashes >> np.uint64(52)).astype(np.int64) % BINS
+    return classes, owner, hashes.view(np.int64)
 
 
-#: Class shares, common bins, and their shares with the rest's last.
+#: Class shares, common words, and their shares with the rest's last.
 Reference = tuple[np.ndarray, np.ndarray, np.ndarray]
 _PARTS = ["classes", "common", "shares"]
+#: Kinds of counts: bytes of a class, a word, all words.
+_CLASSES, _WORD, _TOTAL = 0, 1, 2
 
 
 def references(documents: DataFrame, lang_column: str = "lang", text_column: str = "text") -> DataFrame:
@@ -80,46 +83,49 @@ def references(documents: DataFrame, lang_column: str = "lang", text_column: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str | None, np.ndarray] = {}
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang for lang in sums for _ in np.flatnonzero(sums[lang])], pa.string()),
-                    pa.array(np.concatenate([np.flatnonzero(v) for v in sums.values()]).astype(np.int32)),
-                    pa.array(np.concatenate([v[np.flatnonzero(v)] for v in sums.values()])),
-                ],
-                ["lang", "bin", "n"],
-            )
+        held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                words, at = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+                counts = np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(words)).astype(np.int64)
+                kinds = np.repeat(np.asarray([_CLASSES, _WORD, _TOTAL], np.int8), [CLASSES, len(words), 1])
+                keys = np.concatenate([np.arange(CLASSES), words, [0]])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(kinds), pa.array(keys), pa.array(np.concatenate([sums[lang], counts, [counts.sum()]]))], ["lang", "kind", "key", "n"])
+            held.clear()
             sums.clear()
-            return out
 
         for part in tx.slices(batches, "text"):
-            at, data = tx.flat(part.column("text"))
-            classes, owner, bins = _histograms(at, data)
+            classes, owner, hashes = _histograms(*tx.flat(part.column("text")))
             coded = part.column("lang").dictionary_encode()
             code = np.asarray(coded.indices.fill_null(len(coded.dictionary)))
             for k, lang in enumerate([*coded.dictionary.to_pylist(), None]):
                 own = code == k
                 if own.any():
-                    v = sums.setdefault(lang, np.zeros(CLASSES + BINS, np.int64))
-                    v[:CLASSES] += classes[own].sum(0)
-                    v[CLASSES:] += np.bincount(bins[own[owner]], minlength=BINS)
-            if len(sums) > LANGUAGES:
-                yield flush()
-        if sums:
-            yield flush()
+                    sums[lang] = sums.get(lang, 0) + classes[own].sum(0)
+                    held.setdefault(lang, []).append(np.unique(hashes[own[owner]], return_counts=True))
+                    size += len(held[lang][-1][0]) + CLASSES
+            if size > _HELD:
+                yield from flush()
+                size = 0
+        yield from flush()
 
     def reference(table: pa.Table) -> pa.Table:
-        v = np.zeros(CLASSES + BINS)
-        v[table["bin"].to_numpy()] = table["n"].to_numpy()
-        common = np.argsort(-v[CLASSES:], kind="stable")[:COMMON]
-        shares = np.append(v[CLASSES:][common], v[CLASSES:].sum() - v[CLASSES:][common].sum())
-        parts = v[:CLASSES] / max(1, v[:CLASSES].sum()), common.astype(np.int32), shares / max(1, shares.sum())
-        return pa.table([table["lang"].slice(0, 1), pa.array([int(v[CLASSES:].sum())]), *(pa.array([x]) for x in parts)], ["lang", "words", *_PARTS])
-
-    counted = rows.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    made = counted.groupBy("lang").applyInArrow(reference, "lang string, words long, classes array<double>, common array<int>, shares array<double>")
-    return made.where(F.col("words") >= LEAST_WORDS)  # at most CLASSES + BINS rows a group
+        kind, n = table["kind"].to_numpy(), table["n"].to_numpy()
+        classes = np.zeros(CLASSES)
+        classes[table["key"].to_numpy()[kind == _CLASSES]] = n[kind == _CLASSES]
+        common, heavy, total = table["key"].to_numpy()[kind == _WORD], n[kind == _WORD], int(n[kind == _TOTAL].sum())
+        order = np.argsort(common)
+        shares = np.append(heavy[order], total - heavy.sum())
+        parts = classes / max(1, classes.sum()), common[order], shares / max(1, total)
+        return pa.table([table["lang"].slice(0, 1), pa.array([total]), *(pa.array([x]) for x in parts)], ["lang", "words", *_PARTS])
+
+    counted = rows.mapInArrow(count, "lang string, kind byte, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))
+    heaviest = counted.withColumn("place", place).where(F.col("place") <= COMMON)
+    made = heaviest.groupBy("lang").applyInArrow(reference, "lang string, words long, classes array<double>, common array<long>, shares array<double>")
+    return made.where(F.col("words") >= LEAST_WORDS)  # at most CLASSES + COMMON + 1 rows a group
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -166,7 +172,7 @@ _VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 
 def _measured(texts: pa.Array, langs: pa.Array, known: dict[str | None, Reference], near: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Both distances of each text from the reference of its language; without a language, from the nearest, `near` included. NaN without a reference."""
-    classes, owner, bins = _histograms(*tx.flat(texts))
+    classes, owner, hashes = _histograms(*tx.flat(texts))
     coded = langs.dictionary_encode()
     code = np.asarray(coded.indices.fill_null(len(coded.dictionary)))
     first, second = near or (np.full(len(classes), np.nan), np.full(len(classes), np.nan))
@@ -178,9 +184,8 @@ def _measured(texts: pa.Array, langs: pa.Array, known: dict[str | None, Referenc
         number[own] = np.arange(len(own))
         mine = number[owner] >= 0
         for class_shares, common, shares in known.values() if lang is None else [known[lang]] if lang in known else []:
-            place = np.full(BINS, COMMON)
-            place[common] = np.arange(len(common))
-            counts = _per_doc(number[owner[mine]], place[bins[mine]], len(own), COMMON + 1)
+            at = np.minimum(np.searchsorted(common, hashes[mine]), len(common) - 1)
+            counts = _per_doc(number[owner[mine]], np.where(common[at] == hashes[mine], at, len(common)), len(own), len(common) + 1)
             one = distance(classes[own] / np.maximum(1, classes[own].sum(1, keepdims=True)), class_shares)
             two = distance(counts / np.maximum(1, counts.sum(1, keepdims=True)), shares)
             better = ~(first[own] + second[own] <= one + two)
