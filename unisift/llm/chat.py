@@ -7,10 +7,11 @@ canonical JSON (sorted keys, no spaces, UTF-8 as it is).
 * Join: results are first reduced to the earliest one of each identifier and their number (map-side, so an identifier
   with very many results costs one row per task), then joined by a hash of the identifier; a full outer join keeps calls
   without a result (`missing_result`) and results without a call (`missing_call`). A null identifier links with nothing.
-* Order: (wave, turn, call_id). If all dependencies of a conversation point to earlier turns, its turns are a
-  topological order already and its wave is 0. Otherwise waves peel off calls whose dependencies are placed;
-  calls on a cycle have a null wave and status `cycle`. Dependencies on unknown identifiers are ignored. No
-  conversation is gathered in one task, however long.
+* Order: (wave, turn, call_id). A call that depends on no other call of its conversation has wave 0, any other call the
+  wave after the last one that it depends on; calls on a cycle, or behind one, have a null wave and status `cycle`.
+  Dependencies on unknown identifiers, and on calls of other conversations, are ignored; calls without a conversation
+  aren't ordered (wave 0). Conversations of up to `LONG` calls and dependencies are ordered by one task each; longer
+  ones aren't gathered: rounds over all of them peel off one wave after the other.
 * Validation: `type`, `required`, `properties`, `additionalProperties`, `items`, `enum`, `minLength`, `maxLength`,
   `minimum`, `maximum`. Arguments that aren't JSON (NaN, infinities and numbers beyond a double's range
   aren't), and names without a schema, are errors too; such arguments are kept as text.
@@ -29,8 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import spread_join
 from .stage import written
 
+#: The most rows (calls and dependencies) of a conversation that one task orders.
+LONG = 1 << 18
+
 _TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "number": (int, float), "integer": int, "null": type(None)}
 
 
@@ -101,14 +106,31 @@ def parsed(text: str) -> Any:
     return value
 
 
-def _waves(calls: DataFrame) -> DataFrame:
-    """call_id, wave of the calls in conversations whose turns aren't a topological order; wave null on cycles."""
-    order = calls.where("call_id is not null").groupBy("call_id").agg(F.min("turn").alias("turn"), F.min("conv_id").alias("conv_id"))
-    deps = calls.select("call_id", F.explode("after").alias("on")).where("call_id is not null").distinct()
-    deps = deps.join(order.select(F.col("call_id").alias("on"), F.col("turn").alias("turn_on")), "on").join(order, "call_id")
-    turned = written(deps.where("turn_on is null or turn is null or turn_on >= turn").select("conv_id").distinct(), "turned")
-    left = written(deps.join(turned, "conv_id", "left_semi").select("call_id", "on"), "waiting")
-    nodes = written(order.join(turned, "conv_id", "left_semi").select("call_id"), "unplaced")
+def _levels(table: pa.Table) -> pa.Table:
+    """call_id, wave of a conversation's rows (call_id, on; on is null in a call's own row)."""
+    missing: dict[Any, int] = {}
+    after: dict[Any, list] = {}
+    for call, on in zip(table.column("call_id").to_pylist(), table.column("on").to_pylist(), strict=True):
+        missing.setdefault(call, 0)
+        if on is not None:
+            missing[call] += 1
+            after.setdefault(on, []).append(call)
+    wave: dict[Any, int | None] = dict.fromkeys(missing)
+    level, ready = 0, [call for call, n in missing.items() if not n]
+    while ready:
+        freed = []
+        for call in ready:
+            wave[call] = level
+            for next_one in after.get(call, ()):
+                missing[next_one] -= 1
+                if not missing[next_one]:
+                    freed.append(next_one)
+        level, ready = level + 1, freed
+    return pa.table({"call_id": pa.array(list(wave), table.schema.field("call_id").type), "wave": pa.array(list(wave.values()), pa.int32())})
+
+
+def _peeled(nodes: DataFrame, left: DataFrame) -> DataFrame:
+    """The same of conversations of any length, by one round for each wave: calls `nodes`, dependencies `left` (call_id, on)."""
     placed = nodes.select("call_id", F.lit(None).cast("int").alias("wave")).limit(0)
     wave = 0
     while nodes.take(1):
@@ -122,6 +144,26 @@ def _waves(calls: DataFrame) -> DataFrame:
     return placed
 
 
+def _waves(calls: DataFrame) -> DataFrame:
+    """call_id, wave of the calls in conversations with dependencies; wave null on cycles and behind them."""
+    order = calls.where("call_id is not null").groupBy("call_id").agg(F.min("conv_id").alias("conv_id"))
+    asked = calls.select("call_id", F.explode("after").alias("on")).where("call_id is not null and on is not null").distinct()
+    deps = asked.join(order, "call_id").join(order.select(F.col("call_id").alias("on"), F.col("conv_id").alias("conv_on")), "on").where("conv_on = conv_id")
+    deps = written(deps.select("conv_id", "call_id", "on"), "dependencies")
+    nodes = order.join(deps.select("conv_id").distinct(), "conv_id", "left_semi")
+    rows = written(deps.unionByName(nodes.select("conv_id", "call_id", F.lit(None).cast(deps.schema["on"].dataType).alias("on"))), "calls")
+    sizes = written(rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("rows")), "sizes")
+    long = written(sizes.where(F.col("rows") > LONG), "long")
+    # what one task gathers has at most LONG rows
+    few = rows.join(long.select("conv_id"), "conv_id", "left_anti") if long.take(1) else rows
+    kind = rows.schema["call_id"].dataType.simpleString()
+    waves = few.groupBy("conv_id").applyInArrow(_levels, f"call_id {kind}, wave int")
+    if long.take(1):
+        many = written(spread_join(rows, long, "conv_id", "rows", long.agg(F.sum("rows")).first()[0]), "long-calls")
+        waves = waves.unionByName(_peeled(many.where("on is null").select("call_id"), many.where("on is not null").select("call_id", "on")))
+    return waves
+
+
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """calls: conv_id, turn, call_id, name, arguments (JSON), after (array of call_id); results: conv_id, turn, call_id, content.
 
@@ -184,16 +226,18 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def linked_turns_sql() -> str:
-    """`link_calls` of `turns_as_calls` as SQL for DuckDB over `conversations` (their dependencies all point back)."""
+    """`link_calls` of `turns_as_calls` as SQL for DuckDB over `conversations`."""
     return """
-WITH calls AS (SELECT conv_id, turn, CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN conv_id || ':' || turn END AS call_id, text FROM conversations WHERE role = 'user'),
+WITH RECURSIVE calls AS (SELECT conv_id, turn, CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN conv_id || ':' || turn END AS call_id, text, true AS is_call FROM conversations WHERE role = 'user'),
 answers AS (SELECT CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN conv_id || ':' || (turn - 1) END AS result_id, turn, text, conv_id FROM conversations WHERE role = 'assistant'),
 results AS (SELECT result_id, count(*) AS n_results, min((turn, text, conv_id)) AS r FROM answers WHERE result_id IS NOT NULL GROUP BY 1),
-linked AS (SELECT c.*, result_id, n_results, r[1] AS r_turn, r[2] AS content, r[3] AS r_conv, c.call_id IS NOT NULL AS called FROM calls c FULL JOIN results ON call_id = result_id)
-SELECT coalesce(conv_id, r_conv) AS conv_id, coalesce(call_id, result_id) AS call_id, coalesce(turn, r_turn) AS turn, CASE WHEN called THEN 0 END::INTEGER AS wave,
+ids AS (SELECT DISTINCT call_id, conv_id || ':' || (turn - 2) AS dep FROM calls WHERE call_id IS NOT NULL),
+waves AS (SELECT call_id, 0 AS wave FROM ids WHERE dep NOT IN (SELECT call_id FROM ids) UNION ALL SELECT i.call_id, w.wave + 1 FROM waves w JOIN ids i ON i.dep = w.call_id),
+linked AS (SELECT c.*, result_id, n_results, r[1] AS r_turn, r[2] AS content, r[3] AS r_conv, coalesce(is_call, false) AS called, wave FROM calls c FULL JOIN results ON call_id = result_id LEFT JOIN waves w ON w.call_id = c.call_id)
+SELECT coalesce(conv_id, r_conv) AS conv_id, coalesce(call_id, result_id) AS call_id, coalesce(turn, r_turn) AS turn, CASE WHEN called THEN coalesce(wave, 0) END::INTEGER AS wave,
        CASE WHEN NOT called THEN 'missing_call' WHEN result_id IS NULL THEN 'missing_result' ELSE 'linked' END AS status, coalesce(n_results, 0)::BIGINT AS n_results,
        called AND length(coalesce(text, '')) >= 20 AND turn >= 0 AS valid,
        CASE WHEN NOT called THEN []::VARCHAR[] WHEN text IS NULL THEN ['$.prompt: not string'] WHEN length(text) < 20 THEN ['$.prompt: too short'] ELSE []::VARCHAR[] END AS errors,
-       '{"arguments":' || CASE WHEN called THEN '{"prompt":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"turn":' || turn || '}' ELSE 'null' END || ',"id":"' || coalesce(call_id, result_id)
-       || '","name":' || CASE WHEN called THEN '"reply"' ELSE 'null' END || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json
+       '{"arguments":' || CASE WHEN called THEN '{"prompt":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"turn":' || turn || '}' ELSE 'null' END || ',"id":' || coalesce(to_json(coalesce(call_id, result_id))::VARCHAR, 'null')
+       || ',"name":' || CASE WHEN called THEN '"reply"' ELSE 'null' END || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json
 FROM linked"""
