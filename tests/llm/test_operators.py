@@ -10,7 +10,7 @@ import pytest
 from helpers import awkward, empty, same
 from pyspark.sql import functions as F
 
-from unisift.llm import chat, jaccard, lines, mixing, packing, quality, search, substrings, tokens, units
+from unisift.llm import chat, jaccard, lines, mixing, packing, quality, search, skew, substrings, tokens, units
 from unisift.llm import text as tx
 from unisift.llm.components import components
 from unisift.llm.queries import MIX_WEIGHTS, tokenizer_path
@@ -161,9 +161,13 @@ def test_matching_statistics():
     assert runs <= len(best)
 
 
-@pytest.mark.parametrize("percent, width, often, chunk", [(90, 3, 32, 96), (80, 5, 32, 96), (60, 2, 1, 2)])
-def test_similar_documents(docs, rows, monkeypatch, percent, width, often, chunk):
+@pytest.mark.parametrize("percent, width, often, chunk, frequent, entry, share", [(90, 3, 32, 96, 1 << 18, 1024, 1024), (80, 5, 32, 96, 1 << 18, 1024, 1024), (60, 2, 1, 2, 1 << 18, 1024, 4), (60, 2, 1, 2, 8, 2, 64)])
+def test_similar_documents(docs, rows, monkeypatch, percent, width, often, chunk, frequent, entry, share):
+    """The last cases cut the class of frequent tokens, deal the entries of others into chunks, and have both hot and other keys."""
     monkeypatch.setattr(jaccard, "OFTEN", often)
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "ENTRY", entry)
+    monkeypatch.setattr(skew, "SHARE", share)
     monkeypatch.setattr(jaccard, "CHUNK", chunk)
     sets = []
     for _, t in rows:
@@ -191,7 +195,19 @@ def test_similar_documents_of_nothing(docs):
     assert jaccard.similar_documents(empty(docs)).count() == 0 and jaccard.one_of_each(empty(docs)).count() == 0
 
 
-def test_components(spark):
+def test_spread_join(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(40)] + [(None, 0), (2, 1), (3, 1)], "k int, x int")
+    table = spark.createDataFrame([(1, "a", 40), (2, "b", 1)], "k int, y string, times int")
+    for total in (41, 1 << 20):
+        got = [tuple(r) for r in skew.spread_join(rows, table, "k", "times", total, "left").collect()]
+        assert collections.Counter(got) == collections.Counter([(1, i, "a") for i in range(40)] + [(None, 0, None), (2, 1, "b"), (3, 1, None)])
+        assert skew.spread_join(rows, table, "k", "times", total).count() == skew.spread_join(rows, table, "k", "times", total, plain=total).count() == 41
+
+
+@pytest.mark.parametrize("share", [2, 1024])
+def test_components(spark, monkeypatch, share):
+    monkeypatch.setattr(skew, "SHARE", share)
+    monkeypatch.setattr(skew, "PLAIN", 0 if share == 2 else 1 << 20)
     chain = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 102), (102, 101), (7, 7)], "a long, b long").repartition(5)
     found = {r.node: r.root for r in components(chain).collect()}
     assert found == {i: 0 for i in range(1, 61)} | {101: 100, 102: 100}
@@ -274,6 +290,56 @@ def test_quality(docs, rows):
     assert found.where("kept and base_failed").count() == 0 and quality.judge(empty(docs)).count() == 0
 
 
+def plain_verdicts(rows, least, class_limit=0.17, class_noise=1.5, word_limit=0.115, word_noise=3.0):
+    """(class distance, word distance, kept) of rows (lang, text), by counting words as text."""
+    kind = lambda b: 6 if b > 127 else 0 if 97 <= b <= 122 else 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 if b in b" \t\n\x0b\x0c\r" else 4 if b in b".,;:!?'\"()-" else 5
+    parts = [(lang, collections.Counter(map(kind, t.encode())), collections.Counter(WORD.findall(t.translate(LOWER))), t) for lang, t in rows]
+    references = {}
+    for lang in {x[0] for x in parts}:
+        classes = sum((x[1] for x in parts if x[0] == lang), collections.Counter())
+        words = sum((x[2] for x in parts if x[0] == lang), collections.Counter())
+        if words.total() >= least:
+            order = sorted(words, key=lambda w: (-words[w], int(tx.words(np.frombuffer(w.encode(), np.uint8))[2].view(np.int64)[0])))
+            references[lang] = classes, words, order[:64]
+
+    def distance(p, q):
+        p, q = [x / max(1, sum(p)) for x in p], [x / max(1, sum(q)) for x in q]
+        half = lambda a, b: sum(x * np.log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x)
+        return max(0.0, (half(p, q) + half(q, p)) / 2) ** 0.5
+
+    def far(classes, words, ref):
+        common = lambda c: [c[w] for w in ref[2]] + [c.total() - sum(c[w] for w in ref[2])]
+        return distance([classes[k] for k in range(7)], [ref[0][k] for k in range(7)]), distance(common(words), common(ref[1]))
+
+    out = []
+    for lang, classes, words, t in parts:
+        near = [far(classes, words, r) for x, r in references.items() if lang is None or x == lang]
+        one, two = min(near, key=sum) if near else (None, None)
+        size, n = len(t.encode()), words.total()
+        own = WORD.findall(t)
+        windows = collections.Counter(tuple(own[k : k + 8]) for k in range(n - 7))
+        cover = {j for k in range(n - 7) if windows[tuple(own[k : k + 8])] > 1 for j in range(k, k + 8)}
+        one, two = one if size >= 100 else None, two if n >= 20 else None
+        bad = n < 20 or 100 * len(cover) > 30 * n or (one is not None and one > class_limit + class_noise / size**0.5) or (two is not None and two > word_limit + word_noise / n**0.5)
+        out.append((one, two, not bad))
+    return out
+
+
+@pytest.mark.parametrize("kind, sent", [("long", 256), ("string", 1)])
+def test_quality_verdicts(spark, monkeypatch, kind, sent):
+    """Both distances and the verdict against plain Python; junk and thin languages among the rows."""
+    monkeypatch.setattr(quality, "LEAST_WORDS", 300)
+    monkeypatch.setattr(quality, "LANGUAGES", sent)
+    table = awkward(spark, 80, 3, kind)
+    junk = [(None, " ".join(f"{j}#" for j in range(60)), x) for x in ("en", "de", None, "thin")] + [(None, " ".join("the of"[k % 3 :] for k in range(60)), "en")]
+    table = table.unionByName(spark.createDataFrame(junk, f"doc_id {kind}, text string, lang string"), allowMissingColumns=True)
+    rows = [(r.doc_id, r.lang, r.text or "") for r in table.collect()]
+    show = lambda i, x, y, kept: (str(i), "-" if x is None else f"{x:.6f}", "-" if y is None else f"{y:.6f}", kept)
+    want = sorted(show(i, *v) for (i, _, _), v in zip(rows, plain_verdicts([r[1:] for r in rows], 300), strict=True))
+    assert sorted(show(r.doc_id, r.class_distance, r.word_distance, r.kept) for r in quality.judge(table).collect()) == want
+    assert {x[3] for x in want} == {True, False}
+
+
 def test_quality_rejects_other_distributions(spark):
     clean = [(i, " ".join(f"the w{(i * 7 + j) % 50} of a{j % 9}" for j in range(60)), "en") for i in range(60)]
     junk = [(100, " ".join("#$%&" for _ in range(30)) + " " + " ".join(f"{j}" for j in range(90)), "en"), (101, " ".join(f"ZZ{j}!!" for j in range(120)), "en")]
@@ -309,14 +375,30 @@ def test_divergence():
 
 
 def test_linking_turns(spark):
-    turns = [(1, 0, "system", "s"), (1, 1, "user", "a question that is long enough"), (1, 2, "assistant", 'an "answer"\n'), (1, 3, "user", "short"), (2, 0, "assistant", "no call"), (None, 1, "user", "x" * 30), (3, 0, "user", None), (3, 1, "assistant", None), (4, 0, "user", "y" * 30), (4, 1, "assistant", "b"), (4, 1, "assistant", "a")]
+    turns = [(1, 0, "system", "s"), (1, 1, "user", "a question that is long enough"), (1, 2, "assistant", 'an "answer"\n'), (1, 3, "user", "short"), (2, 0, "assistant", "no call"), (None, 1, "user", "x" * 30), (5, 2, "user", "z" * 30), (5, 4, "user", "z" * 30), (5, 6, "user", "z" * 30), (5, 4, "user", "again " * 9), (5, 10, "user", "z" * 30), (3, 0, "user", None), (3, 1, "assistant", None), (4, 0, "user", "y" * 30), (4, 1, "assistant", "b"), (4, 1, "assistant", "a")]
     table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     found = chat.link_calls(*chat.turns_as_calls(table), {"reply": chat.REPLY_SCHEMA})
-    same(found.where("conv_id is not null"), chat.linked_turns_sql(), conversations=table.where("conv_id is not null"))
+    same(found, chat.linked_turns_sql(), conversations=table)
+    assert sorted(r.wave for r in found.where("conv_id = 5").collect()) == [0, 0, 1, 1, 2]
     assert found.where("call_id is null").select("status").first()[0] == "missing_result"
     assert chat.link_calls(*chat.turns_as_calls(empty(table)), {}).count() == 0
 
 
+@pytest.mark.parametrize("most", [2, 1 << 18])
+def test_linking_order_of_any_length(spark, monkeypatch, most):
+    """Random dependencies, backward, forward, cyclic and into other conversations, against peeling in plain Python."""
+    monkeypatch.setattr(chat, "LONG", most)
+    rng = np.random.default_rng(5)
+    calls = [(c, t, f"{c}:{t}", "f", "{}", [f"{c if rng.random() < 0.9 else c + 1}:{k}" for k in rng.integers(0, 9, rng.integers(0, 2))]) for c in range(12) for t in range(8)]
+    made = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, after array<string>")
+    known = {r[2]: {x for x in r[5] if x.split(":")[0] == str(r[0]) and int(x.split(":")[1]) < 8} for r in calls}
+    want: dict = {}
+    while ready := [c for c in known if c not in want and known[c] <= set(want)]:
+        want |= {c: max((want[x] + 1 for x in known[c]), default=0) for c in ready}
+    found = chat.link_calls(made, spark.createDataFrame([], "conv_id long, turn long, call_id string, content string"), {})
+    assert {r.call_id: r.wave for r in found.collect()} == {c: want.get(c) for c in known} and max(want.values()) > 1 and len(want) < len(known)
+
+
 def test_linking_order_and_schemas(spark):
     schema = {"type": "object", "required": ["n"], "additionalProperties": False, "properties": {"n": {"type": "integer", "minimum": 1, "maximum": 3}, "tags": {"type": "array", "items": {"enum": ["a"]}}}}
     calls = [(1, 5, "c", "f", '{"n": 1}', []), (1, 1, "a", "f", '{"tags": ["a", "b"], "n": 4}', ["b"]), (1, 2, "b", "f", "{", ["c", "nowhere"]), (2, 1, "x", "g", "{}", ["y"]), (2, 2, "y", "f", '{"n": true, "m": 1}', ["x"]), (3, 1, "z", "f", '{"n": 2}', ["z0"]), (3, 0, "z0", "f", '{"n": "2"}', None)]
@@ -330,7 +412,7 @@ def test_linking_order_and_schemas(spark):
     odd = spark.createDataFrame([(1, i, str(i), "f", x, None) for i, x in enumerate(['{"n": NaN}', "[1e400]", "-Infinity", "[" * 100000, "[1]"])], made.schema)
     odd = {r.call_id: r for r in chat.link_calls(odd, results, {"f": schema}).collect()}
     assert [odd[str(i)].errors for i in range(5)] == [["arguments: not JSON"]] * 4 + [["$: not object"]] and '"arguments":"[1e400]"' in odd["1"].json
-    assert found["z"].wave == found["z0"].wave == 0 and found["z0"].errors == ["$.n: not integer"]
+    assert (found["z"].wave, found["z0"].wave) == (1, 0) and found["z0"].errors == ["$.n: not integer"]
 
 
 @pytest.mark.parametrize("schema", [{"pattern": "a"}, {"type": "object", "properties": {"n": {"exclusiveMinimum": 1}}}, {"items": {"anyOf": []}}, {"additionalProperties": {"type": "string"}}])

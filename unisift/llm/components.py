@@ -1,7 +1,8 @@
 """Connected components of links between 64-bit nodes, by alternating large-star and small-star steps.
 
-Each partition first shrinks its own links to a spanning forest. A round's counts and minima are summed map-side, so
-a node with very many links doesn't gather them in one task, and what a round leaves is written to the shared folder.
+Each partition first shrinks its own links to a spanning forest. A round's counts and minima are summed map-side, and
+the minima of nodes with very many links are broadcast (fewer than `skew.SHARE`, once there are over `skew.PLAIN` links),
+so these links aren't gathered in one task. What a round leaves is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import skew
 from .stage import written
 
 
@@ -55,15 +57,15 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """node, root (the component's smallest node, itself left out) of links a, b (bigint)."""
     links = written(links.where("a != b").select("a", "b").mapInArrow(_shrink, "a long, b long"), "links")
-    before = None
+    before, total = None, links.count()
     while True:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("rows")).select("u", F.least("u", "m").alias("m"), "rows")
+        large = skew.spread_join(both.where("v > u"), least, "u", "rows", total, plain=skew.PLAIN).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("rows"))
+        small = skew.spread_join(large, least, "u", "rows", total, plain=skew.PLAIN).where("v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         links = written(small.distinct(), "links")
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
+        before, total = now, now[0]

@@ -11,6 +11,8 @@ out pairs that can't link, and every link between different sets is found or its
    `OFTEN` and at most `FREQUENT` of them, are the frequent token class.
 3. Order: rare tokens by hash, then frequent ones by count and hash. Any fixed order is right; this one keeps
    frequent tokens out of prefixes where it can.
+   Where the frequent class is cut at `FREQUENT`, tokens below it may still be in many documents: an entry of more than
+   `ENTRY` rows is dealt into chunks, and each pair of chunks meets in a task of its own.
 4. Prefix: with p = n - ceil(percent * n / 100) + 1, two documents that link share a token of their first p; extended
    by K - 1, prefixes share at least K. Rare tokens of extended prefixes (K about p / 2) are indexed singly; a pair
    is a candidate if it shares at least K less the frequent tokens that it may share besides.
@@ -22,6 +24,8 @@ out pairs that can't link, and every link between different sets is found or its
    block) and returns a spanning forest of its links, never the pairs. No class is gathered in one task.
 7. Components of the verified links, and the smallest id of each.
 
+Joins on keys that may hold a large share of the rows (nodes, classes, frequent tokens) are `spread_join`s.
+
 Nulls: a null text has no tokens and links with nothing; a null id is kept, and is a class's id only if it has no
 other; repeated rows are copies; an empty table gives an empty result; texts are whole at any length. Extra columns
 aren't read.
@@ -38,10 +42,13 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components, forest
+from .skew import spread_join
 from .stage import written
 
 #: Tokens in more documents than this are frequent, if they're among the FREQUENT most frequent slots.
 OFTEN, FREQUENT = 32, 1 << 18
+#: Rows in a chunk of a rare token's entry.
+ENTRY = 1024
 #: Sets in a chunk of a candidate class.
 CHUNK = 96
 #: Set sizes up to which frequent tokens are combined.
@@ -71,8 +78,8 @@ def _new_sets(batches: Iterator[pa.RecordBatch], width: int, copies: bool = Fals
         yield part, out
 
 
-def _frequent(texts: DataFrame, width: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted slots of the frequent class and their counts; at most FREQUENT."""
+def _frequent(texts: DataFrame, width: int, ranges: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Sorted slots of the frequent class and their counts, at most FREQUENT; whether these are all slots above OFTEN."""
     bits = ranges.bit_length() - 1
     shift = np.uint64(64 - bits - _SLOT_BITS)
 
@@ -110,14 +117,15 @@ def _frequent(texts: DataFrame, width: int, ranges: int) -> tuple[np.ndarray, np
     dealt = texts.mapInArrow(deal, "range long, slots binary")
     slots = written(dealt.groupBy("range").applyInArrow(count, "slot long, n long"), "frequent")
     levels = {r["level"]: r["rows"] for r in slots.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.count(F.lit(1)).alias("rows")).collect()}
-    least, rows = 64, 0
+    least, rows, whole = 64, 0, True
     for level in sorted(levels, reverse=True):
         rows += levels[level]
         if rows > FREQUENT:
+            whole = False
             break
         least = level
     table = slots.where(F.col("n") >= F.lit(2.0) ** least).orderBy("slot").toPandas()  # at most FREQUENT rows
-    return table["slot"].to_numpy(np.uint64), table["n"].to_numpy(np.int64)
+    return table["slot"].to_numpy(np.uint64), table["n"].to_numpy(np.int64), whole
 
 
 def _index(texts: DataFrame, width: int, percent: int, slots: np.ndarray, counts: np.ndarray, ranges: int) -> DataFrame:
@@ -162,11 +170,22 @@ def _index(texts: DataFrame, width: int, percent: int, slots: np.ndarray, counts
     return texts.mapInArrow(entries, "kind byte, token long, node long, n int, f int")
 
 
-def _rare_pairs(index: DataFrame, percent: int) -> DataFrame:
-    """Candidate links a, b of rare tokens."""
+def _dealt(rare: DataFrame) -> DataFrame:
+    """The rows with entries of more than ENTRY dealt into chunks: one entry for each pair of chunks, whose sides meet one another only."""
+    sizes = rare.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > ENTRY)
+    sizes = written(sizes.withColumn("chunks", F.ceil(F.col("rows") / ENTRY).cast("int")), "entries")
+    sized = spread_join(rare, sizes, "token", "rows", sizes.agg(F.sum("rows")).first()[0] or 0, "left").fillna(1, "chunks")
+    sized = sized.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    side = F.when(F.col("chunk") == F.col("other"), 0).when(F.col("chunk") < F.col("other"), 1).otherwise(2)
+    own = F.when(F.col("chunks") > 1, F.xxhash64("token", F.least("chunk", "other"), F.greatest("chunk", "other"))).otherwise(F.col("token"))
+    return sized.select(own.alias("token"), "node", "n", "f", side.alias("side"))
+
+
+def _rare_pairs(index: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """Candidate links a, b of rare tokens; whole: none of them is in more than OFTEN sets."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = {c: np.zeros(0, np.int64) for c in ("token", "node", "n", "f")}
+        tail = {c: np.zeros(0, np.int64) for c in ("token", "node", "n", "f", "side")}
         held: list[np.ndarray] = []
         size = 0
 
@@ -177,13 +196,13 @@ def _rare_pairs(index: DataFrame, percent: int) -> DataFrame:
         def meet(rows: dict[str, np.ndarray]) -> None:
             """All pairs of equal tokens, by their distance in the sorted rows."""
             nonlocal size
-            token, node, n, f = (rows[c] for c in ("token", "node", "n", "f"))
+            token, node, n, f, side = (rows[c] for c in ("token", "node", "n", "f", "side"))
             p, k = _prefix(n, percent)
             left = np.flatnonzero(token[1:] == token[:-1])
             step = 1
             while len(left):
                 x, y = left, left + step
-                fits = (node[x] != node[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+                fits = (node[x] != node[y]) & ((side[x] == 0) | (side[x] != side[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
                 x, y = x[fits], y[fits]
                 if len(x):
                     need = np.maximum(1, np.minimum(k[x], k[y]) - np.minimum(f[x], f[y]))
@@ -206,8 +225,9 @@ def _rare_pairs(index: DataFrame, percent: int) -> DataFrame:
         if size:
             yield flush()
 
-    rare = index.where("kind = 0").select("token", "node", "n", "f").repartition("token").sortWithinPartitions("token", "node")
-    met = rare.mapInArrow(pairs, "a long, b long, need long, c long")
+    rare = index.where("kind = 0").select("token", "node", "n", "f")
+    rare = rare.withColumn("side", F.lit(0)) if whole else _dealt(rare)
+    met = rare.repartition("token").sortWithinPartitions("token", "node").mapInArrow(pairs, "a long, b long, need long, c long")
     return met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
 
 
@@ -241,8 +261,8 @@ def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent
 
 def _verified(texts: DataFrame, nodes: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """Links a, b, a spanning forest of those within each candidate class."""
-    sizes = nodes.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    wanted = written(nodes.join(sizes, "root").join(reps, "node"), "wanted")
+    sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("rows")).withColumn("chunks", F.ceil(F.col("rows") / CHUNK).cast("int"))
+    wanted = written(spread_join(nodes, sizes, "root", "rows", nodes.count()).join(reps.select("node", "least"), "node"), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in _new_sets(batches, width):
@@ -282,22 +302,25 @@ def similar_documents(documents: DataFrame, percent: int = 80, width: int = 5, i
     rows = written(texts.mapInArrow(features, f"doc_id {kind}, text_hash long, n_shingles long, node long"), "features")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = 1 << min(12, max(4, (total >> 21).bit_length()))
-    slots, counts = _frequent(texts.select("text"), width, ranges)
+    slots, counts, whole = _frequent(texts.select("text"), width, ranges)
     index = written(_index(texts.select("text"), width, percent, slots, counts, ranges), "index")
 
     often = index.where("kind = 1").select("token", "node")
-    hubs = often.groupBy("token").agg(F.min("node").alias("hub"))
-    starred = often.join(hubs, "token").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    candidates = components(_rare_pairs(index, percent).unionByName(starred))
+    hubs = often.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("rows"))
+    starred = spread_join(often, hubs, "token", "rows", often.count()).where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    candidates = components(_rare_pairs(index, percent, whole).unionByName(starred))
 
     nodes = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())
-    reps = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    worded = rows.where("n_shingles > 0")
+    reps = written(worded.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times")), "sets")
     joined = components(_verified(texts, nodes, reps, width, percent))
 
-    roots = reps.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = roots.join(least, "root").select("node", "root", "component_id")
-    return rows.join(classes, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node", "text_hash", F.coalesce("root", "node").alias("class"))
+    roots = written(reps.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "times"), "roots")
+    least = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    classes = written(spread_join(roots, least, "root", "rows", roots.count()).select("node", F.col("root").alias("class"), "component_id", "times"), "classes")
+    out = ["doc_id", "n_shingles", "component_id", "node", "text_hash", "class"]
+    alone = rows.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "class": F.col("node")})
+    return spread_join(worded, classes, "node", "times", worded.count()).select(out).unionByName(alone.select(out))
 
 
 def one_of_each(documents: DataFrame, percent: int = 80, width: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
