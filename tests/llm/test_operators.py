@@ -500,3 +500,41 @@ def test_search_reads_fewer_postings():
         pruned += again.read
         assert found.tolist() == np.flatnonzero(full >= least).tolist() and (scores == full[found]).all()
     assert pruned < whole / 2 and again.looked < 600 * whole / 20 and sorted(row.tolist()) == list(range(600))
+
+
+@pytest.mark.parametrize("dense, near, scores", [(1 << 40, 1 << 16, 1 << 20), (40, 1 << 16, 1 << 20), (0, 1 << 16, 1 << 20), (40, 700, 1500)])
+def test_search_of_batches(monkeypatch, dense, near, scores):
+    """Queries in batches, by products or by pivots, give the k best documents exactly, equal scores and close ones among them."""
+    for name, value in {"DENSE": dense, "NEAR": near, "SCORES": scores, "BLOCK": 16}.items():
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(5)
+    lists = [np.unique(np.minimum(rng.zipf(1.2, rng.integers(0, 150)), 2000)).astype(np.uint64) for _ in range(400)]
+    lists += lists[:40]  # equal scores
+    owner, terms = np.repeat(np.arange(440), [len(x) for x in lists]).astype(np.int32), np.concatenate(lists)
+    tf = rng.integers(1, 4, len(terms)).astype(np.int32)
+    tf[len(terms) - sum(map(len, lists[:40])) :] = tf[: sum(map(len, lists[:40]))]
+    index, row = search.Index.of(owner, terms, tf, np.asarray([len(x) for x in lists]))
+    words, df = np.unique(terms, return_counts=True)
+    index.prepare(50.0, words, np.log(1 + (440 - df + 0.5) / (df + 0.5)))
+    full = np.zeros((440, 440))
+    for q, asked in enumerate(lists):
+        for t in np.searchsorted(words, asked):
+            at = slice(index.bounds[t], index.bounds[t + 1])
+            full[q, index.doc[at]] += index.impact[at]
+    starts, places = np.append(0, np.cumsum([len(x) for x in lists])), np.searchsorted(words, terms)
+    for floor in (1, 30_000_000):
+        least = np.full(440, floor, np.int64)
+        found = [x for part in index.best(np.arange(440), starts, places, least, row, 7) for x in zip(*(y.tolist() for y in part), strict=True)]
+        want = [(q, d, full[q, d]) for q in range(440) for d in np.lexsort((row, -full[q]))[:7].tolist() if full[q, d] >= floor]
+        assert sorted(found) == sorted(want) and len(want) > 500
+        assert all(least[q] == max(floor, np.sort(full[q])[-7]) for q in range(440))
+
+
+def test_search_deals_like_documents_together(spark):
+    """Documents of several languages that come mixed are held by shards of one language each."""
+    common = [[f"{x}{i}" for i in range(40)] for x in "abc"]
+    rng = np.random.default_rng(6)
+    texts = [(i, " ".join([*rng.choice(common[i % 3], 30), f"own{i}"])) for i in range(600)]
+    shards = search._shards(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)).collect()
+    assert len(shards) >= 3 and sorted(i for s in shards for i in s.ids) == list(range(600))
+    assert all(len({i % 3 for i in s.ids}) == 1 for s in shards)
