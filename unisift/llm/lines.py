@@ -57,9 +57,9 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(line, " "), "")
 
 
-def _numbers(words: str, hashes: str, places: Column, width: int) -> Column:
-    """Sorted distinct numbers of the tokens that begin at some places."""
-    number = lambda i: F.get(hashes, i).bitwiseAND(F.lit(_UPPER)).bitwiseOR(F.xxhash64(*(F.get(words, i + k) for k in range(width))).bitwiseAND(F.lit(_LOWER)))
+def _numbers(hashes: str, places: Column, width: int) -> Column:
+    """Sorted distinct numbers of the tokens that begin at some places, from the hashes of the words."""
+    number = lambda i: F.get(hashes, i).bitwiseAND(F.lit(_UPPER)).bitwiseOR(F.xxhash64(*(F.get(hashes, i + k) for k in range(width))).bitwiseAND(F.lit(_LOWER)))
     return F.sort_array(F.array_distinct(F.transform(places, number)))
 
 
@@ -80,12 +80,12 @@ def _lines(documents: DataFrame, percent: int, width: int, id_column: str, text_
     keyed = lines.select(*place, F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(width), "words").alias("k2"), F.when(F.size("words") >= width, F.col("words")).alias("words"))
     place += ["k1", "k2"]
     most = F.when(F.col("words").isNotNull(), F.size("words") - (width - 1))
-    hashed = keyed.select(*place, most.alias("n"), "words", _hashes("words").alias("hashes"))
-    firsts = hashed.select(*place, "n", "words", "hashes", F.sort_array(F.array_distinct(F.slice("hashes", 1, F.col("n")))).alias("firsts"))
-    bounded = firsts.select(*place, "n", "words", "hashes", F.get("firsts", F.least(_least(F.col("n"), percent), F.size("firsts")) - 1).alias("bound"))
+    hashed = keyed.select(*place, most.alias("n"), _hashes("words").alias("hashes"))
+    firsts = hashed.select(*place, "n", "hashes", F.sort_array(F.array_distinct(F.slice("hashes", 1, F.col("n")))).alias("firsts"))
+    bounded = firsts.select(*place, "n", "hashes", F.get("firsts", F.least(_least(F.col("n"), percent), F.size("firsts")) - 1).alias("bound"))
     within = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("hashes", i) <= F.col("bound"))
-    early = bounded.select(*place, "words", "hashes", F.when(F.col("bound").isNotNull(), within).alias("early"))
-    return early.select(*place, _numbers("words", "hashes", F.col("early"), width).alias("prefix"))
+    early = bounded.select(*place, "hashes", F.when(F.col("bound").isNotNull(), within).alias("early"))
+    return early.select(*place, _numbers("hashes", F.col("early"), width).alias("prefix"))
 
 
 def _token_sets(documents: DataFrame, wanted: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
@@ -96,8 +96,8 @@ def _token_sets(documents: DataFrame, wanted: DataFrame, width: int, id_column:
     # the generator makes lines a column of their own, or they'd be split again for each wanted one
     found = docs.join(by_doc.hint("shuffle_hash"), here).select("wanted", F.explode_outer(F.array(_line_texts(F.col("text")))).alias("lines"))
     rows = found.select(F.inline_outer(F.transform("wanted", lambda x: F.struct(x["cid"].alias("cid"), x["crowded"].alias("crowded"), _words(F.get("lines", x["line_no"])).alias("words")))))
-    hashed = rows.select("cid", "crowded", "words", _hashes("words").alias("hashes"))
-    return hashed.select("cid", "crowded", _numbers("words", "hashes", F.sequence(F.lit(0), F.size("hashes") - width), width).alias("tokens")).withColumn("n", F.size("tokens"))
+    hashed = rows.select("cid", "crowded", _hashes("words").alias("hashes"))
+    return hashed.select("cid", "crowded", _numbers("hashes", F.sequence(F.lit(0), F.size("hashes") - width), width).alias("tokens")).withColumn("n", F.size("tokens"))
 
 
 def _shared(index: DataFrame) -> DataFrame:
