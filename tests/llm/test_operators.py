@@ -6,11 +6,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import awkward, empty, same
 from pyspark.sql import functions as F
 
-from unisift.llm import chat, jaccard, lines, mixing, packing, quality, search, skew, substrings, tokens, units
+from unisift.llm import chat, jaccard, lines, mixing, packing, quality, search, skew, stage, substrings, tokens, units
+from unisift.llm import components as components_of
 from unisift.llm import text as tx
 from unisift.llm.components import components
 from unisift.llm.queries import MIX_WEIGHTS, tokenizer_path
@@ -195,6 +197,40 @@ def test_similar_documents_of_nothing(docs):
     assert jaccard.similar_documents(empty(docs)).count() == 0 and jaccard.one_of_each(empty(docs)).count() == 0
 
 
+def test_similar_documents_take_one_python_worker_a_task(docs, monkeypatch):
+    plans = []
+
+    def recorded(df, name, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage.written(df, name, *more)
+
+    monkeypatch.setattr(jaccard, "written", recorded)
+    monkeypatch.setattr(components_of, "written", recorded)
+    jaccard.one_of_each(docs, 60, 2).count()
+    assert any("FlatMapGroupsInArrow" in p for p in plans) and any("MapInArrow" in p for p in plans)
+    for plan in plans:
+        above = []
+        for line in plan.splitlines():
+            depth = re.search(r"\w", line + "x").start()
+            above = [x for x in above if x[0] < depth]
+            own = "python" if "InArrow" in line else "exchange" if "Exchange" in line else ""
+            near = next((x[1] for x in reversed(above) if x[1]), "")
+            assert (own, near) != ("python", "python"), plan
+            above.append((depth, own))
+
+
+def test_written_bounds_batches_by_bytes(spark):
+    def rows_of(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    texts = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("abcdefgh"), 128).alias("text"))
+    found = stage.written(texts.mapInArrow(rows_of, "n long"), "sizes", 1 << 18)
+    assert found.agg(F.sum("n"), F.max("n") < 300).first() == (2000, True)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b"
+    stage.discard(found)
+
+
 def test_spread_join(spark):
     rows = spark.createDataFrame([(1, i) for i in range(40)] + [(None, 0), (2, 1), (3, 1)], "k int, x int")
     table = spark.createDataFrame([(1, "a", 40), (2, "b", 1)], "k int, y string, times int")

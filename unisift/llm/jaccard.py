@@ -53,6 +53,8 @@ ENTRY = 1024
 CHUNK = 96
 #: Set sizes up to which frequent tokens are combined.
 COMBINED = 300
+#: Bytes of a batch of texts or token sets: 10,000 rows, Spark's bound, may be all texts of a task.
+BATCH_BYTES = 4 << 20
 _SLOT_BITS = 24
 _FLUSH = 1 << 20
 
@@ -115,7 +117,7 @@ def _frequent(texts: DataFrame, width: int, ranges: int) -> tuple[np.ndarray, np
         yield pa.RecordBatch.from_arrays([pa.array((key[0].as_py() << _SLOT_BITS) + often), pa.array(counts[often].astype(np.int64))], ["slot", "n"])
 
     dealt = texts.mapInArrow(deal, "range long, slots binary")
-    slots = written(dealt.groupBy("range").applyInArrow(count, "slot long, n long"), "frequent")
+    slots = written(dealt.groupBy("range").applyInArrow(count, "slot long, n long"), "frequent", BATCH_BYTES)
     levels = {r["level"]: r["rows"] for r in slots.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.count(F.lit(1)).alias("rows")).collect()}
     least, rows, whole = 64, 0, True
     for level in sorted(levels, reverse=True):
@@ -299,11 +301,11 @@ def similar_documents(documents: DataFrame, percent: int = 80, width: int = 5, i
         for part, sets in _new_sets(batches, width, copies=True):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array([len(s) for _, s in sets], pa.int64()), pa.array([d for d, _ in sets], pa.int64())], ["doc_id", "text_hash", "n_shingles", "node"])
 
-    rows = written(texts.mapInArrow(features, f"doc_id {kind}, text_hash long, n_shingles long, node long"), "features")
+    rows = written(texts.mapInArrow(features, f"doc_id {kind}, text_hash long, n_shingles long, node long"), "features", BATCH_BYTES)
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = 1 << min(12, max(4, (total >> 21).bit_length()))
     slots, counts, whole = _frequent(texts.select("text"), width, ranges)
-    index = written(_index(texts.select("text"), width, percent, slots, counts, ranges), "index")
+    index = written(_index(texts.select("text"), width, percent, slots, counts, ranges), "index", BATCH_BYTES)
 
     often = index.where("kind = 1").select("token", "node")
     hubs = often.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("rows"))
@@ -313,7 +315,8 @@ def similar_documents(documents: DataFrame, percent: int = 80, width: int = 5, i
     nodes = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())
     worded = rows.where("n_shingles > 0")
     reps = written(worded.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times")), "sets")
-    joined = components(_verified(texts, nodes, reps, width, percent))
+    # stored, or each task that compares would hold a second Python worker, which shrinks its links, and executors keep both
+    joined = components(written(_verified(texts, nodes, reps, width, percent), "verified", BATCH_BYTES))
 
     roots = written(reps.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "times"), "roots")
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("rows"))
