@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -487,6 +488,38 @@ def test_line_dedup(spark, monkeypatch, kind, often):
     assert lines.dedup_lines(empty(table)).count() == 0
 
 
+def test_line_prefixes(spark):
+    """A prefix is the least tokens of the line, no more than needed, and no fewer where words or shingles repeat."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcde") for _ in range(n)) for n in range(5, 60)] + ["a a a a a a a a b c", "a b c d e " * 9, "a b c d", "A\tb  c d e f"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = lines._lines(table, 80, 5, "doc_id", "text").select("doc_id", "prefix").collect()
+    every = lines._numbers("hashes", F.sequence(F.lit(0), F.size("hashes") - 5), 5)
+    hashed = table.where("doc_id != 57").select("doc_id", F.explode(F.array(lines._hashes(lines._words(F.translate("text", "A\t", "a "))))).alias("hashes"))
+    want = {r.doc_id: sorted(r.every) for r in hashed.select("doc_id", every.alias("every")).collect()}
+    assert len(found) == len(texts)
+    for r in found:
+        n = len(texts[r.doc_id].split()) - 4
+        assert r.prefix == (want[r.doc_id][: n - -(-80 * n // 100) + 1] if n > 0 else None)
+
+
+@pytest.mark.parametrize("percent, often", [(80, 1), (80, 32), (60, 2)])
+def test_line_dedup_of_variants(spark, monkeypatch, percent, often):
+    """Lines that gain, lose and repeat words, of few and of many different ones, around every bound of a prefix."""
+    monkeypatch.setattr(lines, "OFTEN", often)
+    rng = random.Random(percent + often)
+    rows = []
+    for i in range(60):
+        own = [rng.choice(["x", "y", "z"] if i % 3 == 0 else [f"w{k}" for k in range(300)]) for _ in range(rng.randrange(5, 40))]
+        for _ in range(rng.randrange(1, 5)):
+            at, more = rng.randrange(len(own)), rng.randrange(-3, 4)
+            rows.append((len(rows), " ".join(own[: len(own) + more] if more < 0 else own + own[at : at + more] if i % 2 else [f"v{rng.random()}"] * more + own)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    want = plain_line_dedup([tuple(r) for r in table.select("doc_id", "text", F.xxhash64("text")).collect()], percent)
+    assert sorted(((False, str(r.doc_id)), r.text or "") for r in lines.dedup_lines(table, percent, 5).collect()) == want
+    assert sum(not text for _, text in want) > 20
+
+
 def test_line_dedup_sql(spark, docs):
     unique = docs.where("doc_id < 60").dropDuplicates(["doc_id"])  # the SQL joins by id
     found = lines.dedup_lines(unique, 80, 5)

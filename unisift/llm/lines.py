@@ -9,10 +9,12 @@ of equal rank (rows repeated with id and text) don't remove one another. Lines w
 1. One pass over the texts makes a narrow table: place, a 128-bit hash of the words, and the prefix (see 3) of every line. Texts are read again only for candidates, and to cut lines out.
 2. Equal lines form a class, represented by its first line; copies of any number meet in a map-side aggregate.
 3. Prefix filter: tokens have a global order, by the hash of their first word, then by their own. With at most N tokens, a
-   line's prefix is all tokens whose first word is among its N - ceil(percent * N / 100) + 1 least ones, so it holds at
-   least the prefix that the exact number asks for, and the other tokens needn't be computed. Matching classes share
-   a token of their prefixes, early in the smaller one. A prefix is indexed where another class shares the token: tokens
-   are counted by an aggregate and joined back, so that a token in a third of all lines isn't gathered in one task.
+   line's prefix is its N - ceil(percent * N / 100) + 1 least ones, so it holds at least the prefix that the exact number
+   asks for, and tokens of later first words needn't be computed.
+   Matching classes share a token of their prefixes, and it's among the first N - ceil(2 * percent * N / (100 + percent)) + 1
+   of the one with fewer tokens, the short prefix. A prefix is indexed where another class shares the token, and one of them
+   has it in its short prefix: tokens are counted by an aggregate and joined back, so that a token in a third of all lines
+   isn't gathered in one task.
 4. Rarity: where prefixes hold tokens of more than OFTEN classes, all tokens of these classes are counted, frequent ones
    are put last in the order, and the classes get new prefixes. The order decides speed only.
 5. Candidates meet in two rounds: first each class with the earliest class of each of its index entries; classes
@@ -40,7 +42,7 @@ OFTEN = 32
 _UPPER, _LOWER = -(1 << 40), (1 << 40) - 1
 
 # Generators are outer ones on purpose: for inner ones Spark infers a filter on the size of the array and pushes it below
-# the projections, where it computes all of the array again. For the same reason words come out of a generator: a filter
+# the projections, where it computes all of the array again. For the same reason hashes come out of a generator: a filter
 # on them can't be pushed below it. And a column that a lambda reads is referred to twice at least: a projection that
 # is read once is merged into its reader, where a lambda would compute it for each element.
 
@@ -58,12 +60,12 @@ def _words(line: Column) -> Column:
 
 
 def _numbers(hashes: str, places: Column, width: int) -> Column:
-    """Sorted distinct numbers of the tokens that begin at some places, from the hashes of the words."""
+    """Distinct numbers of the tokens that begin at some places, from the hashes of the words."""
     number = lambda i: F.get(hashes, i).bitwiseAND(F.lit(_UPPER)).bitwiseOR(F.xxhash64(*(F.get(hashes, i + k) for k in range(width))).bitwiseAND(F.lit(_LOWER)))
-    return F.sort_array(F.array_distinct(F.transform(places, number)))
+    return F.array_distinct(F.transform(places, number))
 
 
-def _hashes(words: str) -> Column:
+def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
@@ -72,20 +74,37 @@ def _least(n: Column, percent: int) -> Column:
     return (n - F.ceil(n * percent / 100) + 1).cast("int")
 
 
+def _short(n: Column, percent: int) -> Column:
+    """Length of the prefix of n tokens that is enough against sets of n tokens or more."""
+    return (n - F.ceil(n * (2 * percent) / (100 + percent)) + 1).cast("int")
+
+
 def _lines(documents: DataFrame, percent: int, width: int, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, text_hash, line_no, k1, k2 of the lines with a word; prefix of those with a shingle."""
+    """doc_id, text_hash, line_no, k1, k2 of the lines with a word; n (the most tokens) and prefix of those with a shingle."""
     docs = documents.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("text"))
-    lines = docs.select("doc_id", "text_hash", F.posexplode_outer(F.transform(_line_texts(F.col("text")), _words)).alias("line_no", "words")).where(F.size("words") > 0)
-    place = ["doc_id", "text_hash", "line_no"]
-    keyed = lines.select(*place, F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(width), "words").alias("k2"), F.when(F.size("words") >= width, F.col("words")).alias("words"))
-    place += ["k1", "k2"]
-    most = F.when(F.col("words").isNotNull(), F.size("words") - (width - 1))
-    hashed = keyed.select(*place, most.alias("n"), _hashes("words").alias("hashes"))
-    firsts = hashed.select(*place, "n", "hashes", F.sort_array(F.array_distinct(F.slice("hashes", 1, F.col("n")))).alias("firsts"))
-    bounded = firsts.select(*place, "n", "hashes", F.get("firsts", F.least(_least(F.col("n"), percent), F.size("firsts")) - 1).alias("bound"))
-    within = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("hashes", i) <= F.col("bound"))
-    early = bounded.select(*place, "hashes", F.when(F.col("bound").isNotNull(), within).alias("early"))
-    return early.select(*place, _numbers("hashes", F.col("early"), width).alias("prefix"))
+
+    def hashed(line: Column) -> Column:
+        """Of a line's words only hashes leave the generator. Words are the element of an array of one, so they're split once."""
+        both = lambda words: F.struct(F.xxhash64(F.lit(width), words).alias("k1"), _hashes(words).alias("hashes"))
+        return F.get(F.transform(F.array(_words(line)), both), F.lit(0))
+
+    lines = docs.select("doc_id", "text_hash", F.posexplode_outer(F.transform(_line_texts(F.col("text")), hashed)).alias("line_no", "line")).where(F.size("line.hashes") > 0)
+    place = ["doc_id", "text_hash", "line_no", "k1", "k2", "n"]
+    most = F.when(F.size("hashes") >= width, F.size("hashes") - (width - 1))
+    keyed = lines.select("doc_id", "text_hash", "line_no", "line.*").select("*", F.xxhash64("hashes").alias("k2"), most.alias("n"))
+    # the upper bits of the words' hashes, which tokens go by, and the words' places, which are sorted along
+    first = F.transform(F.slice("hashes", 1, F.col("n")), lambda h, i: h.bitwiseAND(F.lit(_UPPER)).bitwiseOR(i))
+    firsts = keyed.select(*place, "hashes", F.sort_array(first).alias("firsts"))
+    needed = _least(F.col("n"), percent)
+    bounded = firsts.select(*place, "hashes", "firsts", F.get("firsts", needed - 1).bitwiseOR(F.lit(_LOWER)).alias("bound"))
+    # words of the same upper bits belong together, as their tokens' order is that of the lower ones
+    near = F.when(F.get("firsts", needed) <= F.col("bound"), F.filter("firsts", lambda x: x <= F.col("bound"))).otherwise(F.slice("firsts", F.lit(1), needed))
+    early = bounded.select(*place, "hashes", F.transform(near, lambda x: x.bitwiseAND(F.lit(_LOWER)).cast("int")).alias("early"))
+    some = early.select(*place, "hashes", F.sort_array(_numbers("hashes", F.col("early"), width)).alias("some"))
+    # a line that repeats a shingle can have too few different ones there
+    every = F.sort_array(_numbers("hashes", F.sequence(F.lit(0), F.col("n") - 1), width))
+    enough = F.when(F.size("some") < needed, every).otherwise(F.col("some"))
+    return some.select(*place, F.when(F.col("n").isNotNull(), F.slice(enough, F.lit(1), needed)).alias("prefix"))
 
 
 def _token_sets(documents: DataFrame, wanted: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
@@ -95,14 +114,13 @@ def _token_sets(documents: DataFrame, wanted: DataFrame, width: int, id_column:
     here = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash"))
     # the generator makes lines a column of their own, or they'd be split again for each wanted one
     found = docs.join(by_doc.hint("shuffle_hash"), here).select("wanted", F.explode_outer(F.array(_line_texts(F.col("text")))).alias("lines"))
-    rows = found.select(F.inline_outer(F.transform("wanted", lambda x: F.struct(x["cid"].alias("cid"), x["crowded"].alias("crowded"), _words(F.get("lines", x["line_no"])).alias("words")))))
-    hashed = rows.select("cid", "crowded", _hashes("words").alias("hashes"))
-    return hashed.select("cid", "crowded", _numbers("hashes", F.sequence(F.lit(0), F.size("hashes") - width), width).alias("tokens")).withColumn("n", F.size("tokens"))
+    rows = found.select(F.inline_outer(F.transform("wanted", lambda x: F.struct(x["cid"].alias("cid"), x["crowded"].alias("crowded"), _hashes(_words(F.get("lines", x["line_no"]))).alias("hashes")))))
+    return rows.select("cid", "crowded", _numbers("hashes", F.sequence(F.lit(0), F.size("hashes") - width), width).alias("tokens")).withColumn("n", F.size("tokens"))
 
 
 def _shared(index: DataFrame) -> DataFrame:
-    """Index rows (cid, pos, t) whose token another class has too, with the number of classes df and the earliest one, the hub."""
-    counts = index.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("cid").alias("hub")).where("df > 1")
+    """Index rows (cid, pos, short, t) whose token another class has too, and one in its short prefix, with the number of classes df and the earliest one, the hub."""
+    counts = index.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("cid").alias("hub"), F.max("short").alias("any")).where("df > 1 and any").drop("any")
     return index.join(counts.hint("shuffle_hash"), "t")
 
 
@@ -115,9 +133,10 @@ def _reordered(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     hot = written(counted.where(F.col("df") > OFTEN).select("t"), "line-frequent")
     again = written(index.join(hot, "t", "left_semi").select("cid").distinct(), "line-again")
     spread = sets.join(again, "cid", "left_semi").select("cid", "n", F.explode("tokens").alias("t")).join(hot.withColumn("hot", F.lit(True)), "t", "left")
-    spread = spread.groupBy("cid", "n").agg(F.array_sort(F.collect_set(F.struct(F.coalesce("hot", F.lit(False)).alias("hot"), "t"))).alias("order"))
-    renewed = spread.select("cid", F.posexplode(F.slice("order", 1, _least(F.col("n"), percent))).alias("pos", "x")).select("cid", "pos", "x.t")
-    kept = index.join(again, "cid", "left_anti").select("cid", "pos", "t")
+    rare, often = F.sort_array(F.collect_set(F.when(F.col("hot").isNull(), F.col("t")))), F.sort_array(F.collect_set(F.when(F.col("hot"), F.col("t"))))
+    spread = spread.groupBy("cid", "n").agg(F.concat(rare, often).alias("order"))
+    renewed = spread.select("cid", "n", F.posexplode(F.slice("order", 1, _least(F.col("n"), percent))).alias("pos", "t")).select("cid", "pos", (F.col("pos") < _short(F.col("n"), percent)).alias("short"), "t")
+    kept = index.join(again, "cid", "left_anti").select("cid", "pos", "short", "t")
     both = written(kept.unionByName(renewed), "line-reordered")
     out = written(_shared(both), "line-shared")
     discard(hot, again, both)
@@ -126,14 +145,15 @@ def _reordered(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _fate(documents: DataFrame, classes: DataFrame, percent: int, width: int, id_column: str, text_column: str) -> DataFrame:
     """k1, k2, first, gone of the classes with a line to remove: the class's first line is gone too, or stays."""
-    index = written(_shared(classes.select("cid", F.posexplode("prefix").alias("pos", "t"))), "line-shared")
+    entries = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "t"))
+    index = written(_shared(entries.select("cid", "pos", (F.col("pos") < _short(F.col("n"), percent)).alias("short"), "t")), "line-shared")
     some = index.groupBy("cid").agg((F.max("df") > OFTEN).alias("crowded"))
     sets = written(_token_sets(documents, classes.select("cid", "first").join(some, "cid"), width, id_column, text_column), "line-tokens")
     if sets.where("crowded").take(1):
         reordered = _reordered(index, sets, percent)
         discard(index)
         index = reordered
-    placed = written(index.drop("df").join(sets.select("cid", "n").distinct(), "cid"), "line-index")
+    placed = written(index.drop("df", "short").join(sets.select("cid", "n").distinct(), "cid"), "line-index")
     discard(index)
 
     def plausible(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
@@ -170,11 +190,11 @@ def _removed(documents: DataFrame, percent: int, width: int, id_column: str, tex
     """doc_id, text_hash, line_no of the lines to remove."""
     lines = written(_lines(documents, percent, width, id_column, text_column), "lines")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "line_no")
-    classes = lines.groupBy("k1", "k2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("times"), F.first("prefix").alias("prefix"))
+    classes = lines.groupBy("k1", "k2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     # numbers follow the rank, so the earlier of two classes is the one of smaller number
     classes = written(classes.repartitionByRange("first").sortWithinPartitions("first").withColumn("cid", F.monotonically_increasing_id()), "line-classes")
     # prefixes, most of the table, have been read for the last time
-    places = written(lines.drop("prefix"), "line-places")
+    places = written(lines.drop("n", "prefix"), "line-places")
     discard(lines)
     fate = _fate(documents, classes, percent, width, id_column, text_column)
     return places.select("k1", "k2", rank.alias("rank")).join(fate, ["k1", "k2"]).where("gone or rank > first").select("rank.doc_id", "rank.text_hash", "rank.line_no")
